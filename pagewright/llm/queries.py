@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, sharding, simhash
+from . import crf_quality, decontamination, language_id, lm_scoring, packing, sharding, simhash
 from .common import id_crc32, read
 
 
@@ -18,6 +18,29 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    rest = F.pmod(id_crc32(), F.lit(5))
+    field = crf_quality.learn(docs, read(spark, sf_dir, "labels"), use=rest != 0)
+    scored = crf_quality.score(docs, field)
+    return scored.select("doc_id", (rest == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    rest = F.pmod(id_crc32(), F.lit(3))
+    model = language_id.learn(docs, use=rest != 1)
+    return language_id.identify(docs, model).select("doc_id", (rest == 1).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    rest = F.pmod(id_crc32(), F.lit(5))
+    model = lm_scoring.learn(docs, use=rest != 1)
+    scored = lm_scoring.score(docs, model)
+    return scored.select("doc_id", (rest == 1).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -33,7 +56,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_decontamination, op7_simhash, op9_sharding, op10_packing)}
+    return {f.__name__: f for f in (op3_decontamination, op4_crf_quality, op5_language_id, op6_lm_scoring, op7_simhash, op9_sharding, op10_packing)}
 
 
 def oracle_sql() -> dict:
