@@ -135,3 +135,71 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.col("failed").alias("base_failed"),
         "chars_distance", "words_distance", (~F.col("failed") & ~F.coalesce(far, F.lit(False)) & ~F.coalesce(odd, F.lit(False))).alias("kept"),
     )
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for the rows of judge over `documents`, one row for each id, without the distances."""
+    common, n = vocabulary(), len(CLASSES) + 3
+    white = r"[^\x20\x09-\x0D]"
+    classes = [r"length(text) - length(regexp_replace(text, '[a-z]+', '', 'g'))", "length(text) - word_chars"]
+    classes += [f"length(regexp_replace(text, '{x.replace(chr(39), chr(39) * 2)}', '', 'g'))" for x in CLASSES]
+    languages = list(COMMON_WORDS)
+
+    def jsd(counts: str, total: str, shares: str, size: int) -> str:
+        p, q = f"({counts}[i] / CAST({total} AS DOUBLE))", f"{shares}[i]"
+        term = f"CASE WHEN {p} = 0 THEN {q} WHEN {q} = 0 THEN {p} ELSE {p} * log2(2 * {p} / ({p} + {q})) + {q} * log2(2 * {q} / ({p} + {q})) END"
+        return f"CASE WHEN {total} > 0 THEN sqrt(greatest(list_sum(list_transform(range(1, {size + 1}), lambda i: {term})) / 2, 0)) ELSE 1 END"
+
+    refs, chars, words, lists = [], [], [], []
+    for x in languages:
+        own = _own(x)
+        shares = lambda parts, name: f"list_transform([{', '.join(parts)}], lambda s: s / list_sum([{', '.join(parts)}])) AS {name}"
+        others = f"sum(n_words) - {' - '.join(f'sum(v{k})' for k in own)}"
+        refs.append(f"ref_{x} AS (SELECT {shares([f'sum(c{k})' for k in range(n)], f'qc_{x}')}, {shares([*(f'sum(v{k})' for k in own), others], f'qw_{x}')} FROM counted WHERE NOT base_failed AND lang = '{x}')")
+        lists.append(f"[{', '.join(f'v{k}' for k in own)}, n_words - {' - '.join(f'v{k}' for k in own)}] AS words_{x}")
+        chars.append(jsd("chars", "n_chars", f"qc_{x}", n))
+        words.append(jsd(f"words_{x}", "n_words", f"qw_{x}", len(own) + 1))
+    return rf"""
+WITH cut AS (
+  SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{white}+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{white}')) AS lines
+  FROM documents
+),
+triples AS (
+  SELECT doc_id, k, w[k] AS a, w[k + 1] AS b, w[k + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM cut)
+),
+repeated AS (
+  SELECT doc_id, k FROM triples QUALIFY count(*) OVER (PARTITION BY doc_id, a, b, c) > 1
+),
+covered AS (
+  SELECT doc_id, count(DISTINCT k + j) AS n FROM repeated, (VALUES (0), (1), (2)) AS o(j) GROUP BY doc_id
+),
+sized AS (
+  SELECT doc_id, lang, text, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, list_histogram(w) AS h,
+         length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         coalesce(n, 0) AS n_repeat_words, length(text) AS n_chars
+  FROM cut LEFT JOIN covered USING (doc_id)
+),
+split AS (
+  SELECT *, {", ".join(f"{x} AS c{k}" for k, x in enumerate(classes))},
+         {", ".join(f"coalesce(h['{w}'], 0) AS v{k}" for k, w in enumerate(common))},
+         n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed
+  FROM sized
+),
+counted AS (
+  SELECT *, n_chars - {" - ".join(f"c{k}" for k in range(n - 1))} AS c{n - 1} FROM split
+),
+{", ".join(refs)},
+listed AS (
+  SELECT *, [{", ".join(f"c{k}" for k in range(n))}] AS chars, {", ".join(lists)} FROM counted, {", ".join(f"ref_{x}" for x in languages)}
+),
+judged AS (
+  SELECT *, least({", ".join(chars)}) AS chars_distance, least({", ".join(words)}) AS words_distance FROM listed
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed
+       AND NOT (n_chars >= {MIN_CHARS_JUDGED} AND chars_distance > {CHARS_LIMIT} + {CHARS_SLACK} / sqrt(n_chars))
+       AND NOT (n_words >= {MIN_WORDS_JUDGED} AND words_distance > {WORDS_LIMIT} + {WORDS_SLACK} / sqrt(n_words)) AS kept
+FROM judged
+"""

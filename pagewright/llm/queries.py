@@ -10,7 +10,7 @@ from .common import id_crc32, read
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(read(spark, sf_dir, "documents"))
+    return quality_rules.judge(read(spark, sf_dir, "documents")).drop("chars_distance", "words_distance")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,4 +85,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_line_dedup": line_dedup.ORACLE_SQL, "op8_chat_format": chat_format.ORACLE_SQL}
+    return {"op1_quality_rules": quality_rules.oracle_sql(), "op2_line_dedup": line_dedup.ORACLE_SQL, "op8_chat_format": chat_format.ORACLE_SQL}
