@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import queries_corpus, queries_search
+
 
 def queries() -> dict:
-    return {}
+    return {**queries_search.RUNS, **queries_corpus.RUNS}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {**queries_search.SQL, **queries_corpus.SQL}
