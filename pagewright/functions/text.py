@@ -100,7 +100,7 @@ def dehyphenated(text: Column) -> Column:
 
 def natural_key(text: Column, width: int = 20) -> Column:
     """A sort key in which runs of digits compare as numbers: leading zeros go, runs are padded."""
-    bare = F.regexp_replace(F.lower(text), r"0+(\d)", "$1")
+    bare = F.regexp_replace(F.lower(text), r"(?<!\d)0+(\d)", "$1")
     parts = F.regexp_extract_all(bare, F.lit(r"(\d+|\D+)"), F.lit(1))
     return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, width, "0")).otherwise(x)), "")
 

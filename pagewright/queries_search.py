@@ -113,9 +113,9 @@ def _(i):
     return search.filtered(i, matched(i, parser.condition(q, False)), q, search.Options())
 
 
-@query("q15_amounts", f"SELECT doc_id, page FROM toks WHERE {frequency('706', '555')} > 0 OR {frequency('1234', '50')} > 0 OR {frequency('1', '234', '50')} > 0")
+@query("q15_amounts", f"SELECT doc_id, page FROM toks WHERE {frequency('version', '3')} > 0 OR {frequency('1234', '50')} > 0 OR {frequency('1', '234', '50')} > 0")
 def _(i):
-    return matched(i, AnyOf((Phrase.of("706", "555"), parser.node_of(parser.Term("1234,50")))))
+    return matched(i, AnyOf((Phrase.of("version", "3"), parser.node_of(parser.Term("1234,50")))))
 
 
 @query("q17_punctuated_word", f"SELECT doc_id, page FROM toks WHERE {frequency('gnu', 'general')} > 0")
