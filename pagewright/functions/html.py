@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Elements that begin and end a line.
 BLOCKS = frozenset(
@@ -68,7 +69,7 @@ def html_text(html: str) -> tuple[str, str]:
     return collapsed("".join(reader.title)), collapsed("".join(reader.parts))
 
 
-@F.pandas_udf("struct<title:string,text:string>")
+@F.pandas_udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType())]))
 def html_text_udf(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in pages:
         yield pd.DataFrame([html_text(x) for x in batch], columns=["title", "text"])
