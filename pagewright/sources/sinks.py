@@ -27,8 +27,10 @@ def csv_lines(rows: DataFrame) -> DataFrame:
 
 def export_csv(rows: DataFrame, path: str) -> None:
     """A folder of CSV parts with CR LF; the first line of a page of results is the header, behind a byte order mark."""
-    head = rows.sparkSession.createDataFrame([("﻿" + ",".join(f'"{c}"' for c in EXPORT),)], "line string")
-    head.unionByName(csv_lines(rows)).coalesce(1).write.option("lineSep", "\r\n").mode("overwrite").text(path)
+    first = "\ufeff" + ",".join(f'"{c}"' for c in EXPORT)
+    head = rows.sparkSession.createDataFrame([(first, -1)], "line string, k long")
+    lines = csv_lines(rows).withColumn("k", F.monotonically_increasing_id())
+    head.unionByName(lines).repartition(1).sortWithinPartitions("k").select("line").write.option("lineSep", "\r\n").mode("overwrite").text(path)
 
 
 def export_markdown(rows: DataFrame, path: str) -> None:
