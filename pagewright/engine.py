@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .functions.text import deep_link, language_or_und, plain_snippet, tokens_of
 from .operators import snippet
 from .operators.index import Index, build, open_index
-from .operators.match import phrases_of
-from .plans import paging, parser, search
+from .operators.match import Matcher, phrases_of
+from .plans import grammar, paging, parser, search
 from .plans.search import Options, Result
 
 SCHEME = "pagewright"
@@ -49,6 +49,13 @@ class Engine:
         found.hits = hits
         return found
 
+    def search_condition(self, text: str, limit: int = 50, offset: int = 0) -> Result:
+        """Pages for a condition in the boolean grammar, by BM25 alone: no forms, boosts, quorum or fuzzy expansion."""
+        node = grammar.parse(text)
+        rows = Matcher(self.index, [node]).scored(node).withColumn("fz", F.lit(0))
+        pages, documents, approximate = search.totals(rows)
+        return Result(search.with_paths(self.index, search.top(rows, limit, offset)), pages, documents, approximate)
+
     def _resolved(self, query: parser.ParsedQuery) -> parser.ParsedQuery:
         if query.folders or query.not_folders:
             known = [r[0] for r in self.index.docs.select("top_folder").distinct().collect()]  # labels of roots

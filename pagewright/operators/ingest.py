@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import numbered
+
 
 def upsert(docs: DataFrame, seen: DataFrame) -> DataFrame:
     """(id, path, size, mtime, action): docs after a listing. Both have path, size, mtime; docs has id.
@@ -17,8 +19,7 @@ def upsert(docs: DataFrame, seen: DataFrame) -> DataFrame:
     action = F.when(F.col("path").isNull(), "insert").when(F.col("p").isNull(), "keep").when(same, "same").otherwise("update")
     rows = both.select("id", F.coalesce("path", "p").alias("path"), F.coalesce("s", "size").alias("size"), F.coalesce("m", "mtime").alias("mtime"), action.alias("action"))
     top = docs.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("top"))
-    place = F.row_number().over(Window.partitionBy("action").orderBy("path"))
-    added = rows.where("action = 'insert'").withColumn("k", place).crossJoin(F.broadcast(top))  # one row
+    added = numbered(rows.where("action = 'insert'"), "path", "k").crossJoin(F.broadcast(top))  # one row
     return rows.where("action <> 'insert'").unionByName(added.select((F.col("top") + F.col("k")).alias("id"), "path", "size", "mtime", "action"))
 
 
@@ -92,6 +93,14 @@ def after_results(queue: DataFrame, results: DataFrame) -> DataFrame:
     return left.select(*queue.columns)
 
 
+def outdated_media(pages: DataFrame, engines: dict[str, int]) -> DataFrame:
+    """(doc_id): documents whose transcripts an engine made in an older revision than the one there is now."""
+    now = F.lit(None).cast("int")
+    for name, revision in engines.items():
+        now = F.when(F.col("engine") == name, revision).otherwise(now)
+    return pages.where((F.col("src") == 3) & (F.coalesce("engine_rev", F.lit(0)) < now)).select("doc_id").distinct()
+
+
 def completed(results: DataFrame) -> DataFrame:
     """(doc_id, page, body, src): pages whose recognised text has twenty characters or more."""
     return results.where(F.length(F.trim("body")) >= MIN_TEXT).select("doc_id", "page", "body", F.lit(2).alias("src"))

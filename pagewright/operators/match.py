@@ -67,11 +67,21 @@ class AtLeast:
     count: int
 
 
+@dataclass(frozen=True)
+class Without:
+    """The first on a page that doesn't hold the second, which is not scored."""
+
+    keep: object
+    drop: object
+
+
 def leaves_of(node: object) -> list[Leaf]:
     if isinstance(node, Phrase):
         return list(node.leaves)
     if isinstance(node, Near):
         return [Leaf(w) for w in node.words]
+    if isinstance(node, Without):
+        return [*leaves_of(node.keep), *leaves_of(node.drop)]
     return [x for part in node.parts for x in leaves_of(part)]
 
 
@@ -81,6 +91,8 @@ def phrases_of(node: object) -> list[Phrase]:
         found = [node]
     elif isinstance(node, Near):
         found = [Phrase.of(w) for w in node.words]
+    elif isinstance(node, Without):
+        found = phrases_of(node.keep)
     else:
         found = [x for part in node.parts for x in phrases_of(part)]
     return list(dict.fromkeys(found))
@@ -116,6 +128,8 @@ class Matcher:
             # a window of distance + 2 places that ends at some member holds all members
             within = lambda last: reduce(lambda a, b: a & b, [F.exists(x, lambda y: y.between(last - node.distance - 1, last)) for x in every])
             return F.exists(F.concat(*every), within)
+        if isinstance(node, Without):
+            return self.holds(node.keep) & ~self.holds(node.drop)
         parts = [self.holds(x) for x in node.parts]
         if isinstance(node, AtLeast):
             return reduce(lambda a, b: a + b, [x.cast("int") for x in parts]) >= node.count

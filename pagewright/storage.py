@@ -17,3 +17,10 @@ def shared_dir(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagewright-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return held.get()
+
+
+def clear(spark: SparkSession) -> bool:
+    """Removes what the engine and the operators have written to the shared folder. Not while results are in use."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/pagewright")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.ingest import MAX_ATTEMPTS, replace_pages
@@ -91,6 +91,31 @@ def workers(samples: DataFrame, machine: str, at: str, level: str, most: int = 4
     return samples.withColumn("workers", F.when(idle, 0).when(F.col(level) < 70, 2).otherwise(most))
 
 
+class StatusListener(StreamingQueryListener):
+    """Keeps the last progress of each stream, and hands it to `tell`: a name, a time, rows in a batch, rows a second."""
+
+    def __init__(self, tell: Callable[[dict], None] | None = None) -> None:
+        self.tell, self.last = tell, {}
+
+    def onQueryStarted(self, event) -> None:
+        self._keep({"name": event.name or str(event.id), "state": "started", "rows": 0})
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self._keep({"name": p.name or str(p.id), "state": "running", "rows": p.numInputRows, "batch": p.batchId, "at": p.timestamp})
+
+    def onQueryIdle(self, event) -> None:
+        self._keep({"name": str(event.id), "state": "idle", "rows": 0, "at": event.timestamp})
+
+    def onQueryTerminated(self, event) -> None:
+        self._keep({"name": str(event.id), "state": "failed" if event.exception else "ended", "rows": 0})
+
+    def _keep(self, status: dict) -> None:
+        self.last[status["name"]] = status
+        if self.tell is not None:
+            self.tell(status)
+
+
 def next_action(pending_roots: int, queued: int, blockers: list[str], now: float, last_poll: float, poll: float = 60.0) -> str:
     """What the agent does next: index pending roots, then read queued pages unless something blocks, else wait."""
     if pending_roots:

@@ -102,3 +102,55 @@ def test_donation_marks(spark):
     first = changes.donation(docs, 0.0, 4)
     assert [r.id for r in first.collect()] == [0, 1, 2, 3] and changes.next_mark(first, 99.0, 4) == 3.0
     assert changes.next_mark(changes.donation(docs, 8.0, 4), 99.0, 4) == 99.0
+
+
+def test_index_pass(spark, tmp_path):
+    from pagewright.engine import Engine
+    from pagewright.plans import index_pass
+
+    root = tmp_path / "files"
+    (root / "Works").mkdir(parents=True)
+    (root / "Works" / "a.txt").write_text("the pump has failed")
+    (root / "Works" / "b.html").write_text("<p>A valve &amp; a pump</p>")
+    (root / "Works" / "c.pdf").write_bytes(b"%PDF")
+    first, counts = index_pass.run(spark, str(root), str(tmp_path / "index"))
+    assert counts == {"new": 3} and Engine(first).search("pump", fuzzy="off").pages == 2
+    (root / "Works" / "a.txt").write_text("the rotor has failed again")
+    (root / "Works" / "b.html").unlink()
+    (root / "Works" / "d.md").write_text("one more pump")
+    second, counts = index_pass.run(spark, str(root), str(tmp_path / "index"), first)
+    assert counts == {"new": 1, "updated": 1, "removed": 1, "unchanged": 1}
+    assert {r.rel_path for r in Engine(second).search("pump", fuzzy="off").hits.collect()} == {"Works/d.md"}
+    assert Engine(second).search("rotor", fuzzy="off").pages == 1 and Engine(second).status()["skipped"] == 1
+
+
+def test_sql_functions(spark):
+    from pagewright.functions.register import register
+
+    register(spark)
+    got = spark.sql("SELECT fold('ÉTÉ'), tokens('l''Été 512,50'), path_name('a/b.c.txt'), language_or_und('')").first()
+    assert list(got) == ["ete", ["l", "ete", "512", "50"], "b.c", "und"]
+
+
+def test_status_listener(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    write(source, "1.json", [{"event_id": 1, "path": "p", "doc_id": 1, "text": "x", "full_rescan": False}])
+    seen = []
+    listener = changes.StatusListener(seen.append)
+    spark.streams.addListener(listener)
+    try:
+        q = changes.index_changes(changes.change_stream(spark, str(source)), str(tmp_path / "p"), str(tmp_path / "c"), latency=None)
+        q.awaitTermination(120)
+        for _ in range(50):
+            if any(x["state"] == "running" and x["rows"] for x in seen):
+                break
+            time.sleep(0.2)
+        assert any(x["state"] == "running" and x["rows"] == 1 for x in seen)
+    finally:
+        spark.streams.removeListener(listener)
+
+
+def test_outdated_media(spark):
+    pages = spark.createDataFrame([(1, 3, "a", 1), (2, 3, "a", 2), (3, 3, "b", None), (4, 0, "a", 0)], "doc_id long, src int, engine string, engine_rev int")
+    assert sorted(r.doc_id for r in ingest.outdated_media(pages, {"a": 2, "b": 1}).collect()) == [1, 3]

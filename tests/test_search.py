@@ -66,6 +66,20 @@ def test_pages_and_scores_equal_the_full_text_index(engine, fts, node, match):
         assert abs(got[k] - want[k]) < 1e-6 or "NEAR" in match
 
 
+@pytest.mark.parametrize("text", ["pump AND (rotor OR steel)", "pump NOT rotor", "(heat loss) OR NEAR(pump valve, 3)", '"heat loss" catal*', "seal NOT (pump OR valve)", "a_b OR l'eau"])
+def test_written_conditions(engine, fts, text):
+    plain = text.replace("a_b", '"a_b"').replace("l'eau", '"l\'eau"')
+    want = set(fts.execute("select doc, no from page where page match ?", [plain]))
+    found = engine.search_condition(text, limit=10_000)
+    assert {(r.doc_id, r.page) for r in found.hits.collect()} == want and found.pages == len(want)
+
+
+@pytest.mark.parametrize("text", ["", "(a", "a )", "AND a", "NEAR(a)", "a NOT"])
+def test_conditions_that_are_refused(engine, text):
+    with pytest.raises(parser.QueryError):
+        engine.search_condition(text)
+
+
 def test_vocabulary_equals_the_full_text_index(engine, fts):
     fts.execute("create virtual table if not exists vocab using fts5vocab(page, 'row')")
     assert {(r.term, r.df, r.cf) for r in engine.index.vocab.collect()} == set(fts.execute("select term, doc, cnt from vocab"))
