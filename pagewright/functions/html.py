@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 #: Elements that begin and end a line.
 BLOCKS = frozenset(
-    "address article aside blockquote br caption dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split()
+    "p div br hr li ul ol tr td th table h1 h2 h3 h4 h5 h6 section article header footer nav aside blockquote pre figure figcaption dt dd dl body title".split()
 )
 
 

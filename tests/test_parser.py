@@ -45,7 +45,8 @@ def test_amounts():
 
 def test_forms():
     assert p.variants("polymer") == ["polymers"] and p.variants("batteries") == ["battery", "batterie"]
-    assert p.variants("chevaux") == ["cheval"] and p.variants("journal") == ["journaux", "journals"]
+    assert p.variants("chevaux") == ["cheval", "chevau"] and p.variants("boxes") == ["boxe", "box"] and p.variants("prix") == [] and p.variants("cheveux") == ["cheveu"] and p.variants("journal") == ["journaux", "journals"]
+    assert p.forms(["pump", "pump"]) == [["pump", "pumps"]] * 2 and p.variants("process") == ["processes"] and p.variants("pneu") == ["pneux", "pneus"]
     assert p.variants("temps") == [] and p.variants("abc") == [] and p.variants("r2d2") == []
     assert p.forms(["pump", "pumps"]) == [["pump"], ["pumps"]]
 
