@@ -30,7 +30,7 @@ MIN_WORDS = 50
 MIN_CHARS_JUDGED, MIN_WORDS_JUDGED = 200, 50
 #: Largest distance for a long text, and what is added for a text of n characters or words: this over sqrt(n).
 CHARS_LIMIT, CHARS_SLACK = 0.18, 2.0
-WORDS_LIMIT, WORDS_SLACK = 0.10, 3.0
+WORDS_LIMIT, WORDS_SLACK = 0.10, 2.5
 
 
 def vocabulary(languages: dict[str, list[str]] = COMMON_WORDS) -> list[str]:
