@@ -85,4 +85,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_quality_rules": quality_rules.oracle_sql(), "op2_line_dedup": line_dedup.ORACLE_SQL, "op8_chat_format": chat_format.ORACLE_SQL}
+    return {"op1_quality_rules": quality_rules.oracle_sql(), "op2_line_dedup": line_dedup.ORACLE_SQL, "op3_decontamination": decontamination.ORACLE_SQL, "op8_chat_format": chat_format.ORACLE_SQL}
