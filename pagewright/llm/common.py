@@ -31,6 +31,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Cells of a table that may be broadcast: 16 MB or so.
+BROADCAST_CELLS = 1_000_000
+
+
+def bounded(df: DataFrame, cells: Column | None = None, most: int = BROADCAST_CELLS) -> DataFrame:
+    """df, marked for broadcast if it has `most` cells at most: its rows, or the sum of `cells` over them.
+
+    A larger one stays as it is, and a join with it shuffles. df should be a written table: it is read once more.
+    """
+    held = df.agg(F.sum(F.lit(1) if cells is None else cells)).first()[0] or 0
+    return F.broadcast(df) if held <= most else df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, text_or_empty, written
+from .common import as_bytes, bounded, text_or_empty, written
 from .components import connected_components
 
 RADIUS = 4
@@ -182,8 +182,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     A row without an id can't be named as a copy and stays.
     """
     found = written(near_duplicates(docs, id_col, text_col, **options), "near")
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("of")).distinct()
-    kept = docs.join(gone, F.col(id_col) == F.col("of"), "left_anti")
+    gone = written(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("of")).distinct(), "copies")
+    kept = docs.join(bounded(gone), F.col(id_col) == F.col("of"), "left_anti")
     repeated = found.groupBy(id_col).count().where((F.col("count") > 1) & F.col(id_col).isNotNull())
     return kept if repeated.isEmpty() else kept.dropDuplicates([id_col, text_col])
 
