@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import bounded, text_or_empty, written
 
 #: Sites from which on a line is boilerplate.
 MIN_SITES = 10
@@ -69,7 +69,8 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is_first = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key")) & (F.col("pos") == F.col("first_pos"))
     gone = written(met.where(~is_first).groupBy("id", "key").agg(F.collect_set("pos").alias("_gone")).withColumnsRenamed({"id": "_gone_id", "key": "_gone_key"}), "gone")
     out = [c for c in docs.columns if c != "n_removed_lines"]
-    both = docs.select(*out).join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_gone_key")), "left")
+    few = bounded(gone, F.size("_gone") + 4)
+    both = docs.select(*out).join(few, F.col(id_col).eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_gone_key")), "left")
     kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, k: ~F.array_contains("_gone", k)), "\n")
     return both.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)).select(*out, F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed_lines"))
 

@@ -60,3 +60,20 @@ def test_many_sites_need_the_sketches(spark):
 
 def test_empty_table(spark):
     assert d.drop_lines(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_removals_too_many_to_broadcast(spark, monkeypatch):
+    from pagewright.llm import common
+
+    rows = rows_with_lines()
+    monkeypatch.setattr(d, "bounded", lambda df, cells=None: common.bounded(df, cells, most=0))
+    got = d.drop_lines(frame(spark, rows), min_sites=3).collect()
+    assert Counter((r.doc_id, r.text, r.n_removed_lines) for r in got) == brute(rows, 3)
+
+
+def test_bounded_marks_small_tables_only(spark):
+    from pagewright.llm.common import bounded
+
+    plan = lambda df: df._jdf.queryExecution().logical().toString()
+    df = spark.range(10)
+    assert "hint" in plan(bounded(df, most=10)).lower() and "hint" not in plan(bounded(df, most=9)).lower()
