@@ -57,10 +57,10 @@ def id_crc32(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches in parts whose second column holds about `most` bytes, one row at least."""
+def slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 20, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """The batches in parts whose text column holds about `most` bytes, one row at least."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for row, size in enumerate(sizes):
             if held + size > most and row > start:

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -244,18 +245,8 @@ def keep_good(docs: DataFrame, field: Field, text_col: str = "text", threshold:
     place = docs.schema.fieldNames().index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = pa.array([x or "" for x in batch.column(place).to_pylist()], pa.string())
-            for at, part in _parts(held):
-                good, _ = _scored(part, field)
-                yield batch.slice(at, len(part)).filter(pa.array(good >= threshold))
+        for batch in slices(batches, column=place):
+            good, _ = _scored(pc.fill_null(batch.column(place), ""), field)
+            yield batch.filter(pa.array(good >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def _parts(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
-    at = 0
-    row = pa.record_batch([pa.array(np.arange(len(column))), column], names=["k", "text"])
-    for part in slices(iter([row]), most):
-        yield at, part.column(1)
-        at += part.num_rows

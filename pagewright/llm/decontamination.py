@@ -235,7 +235,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             scan, size = shared.value.scan, shared.value.window
-            for batch in batches:
+            for batch in slices(batches, column=place):
                 keep, texts, changed = [], [], []
                 for raw in batch.column(place).cast(pa.binary()).to_pylist():
                     words = words_of(raw or b"")
