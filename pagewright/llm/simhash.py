@@ -169,10 +169,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     held = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = written(held.groupBy("fp").agg(F.min(id_col).alias("rep")), "distinct")
-    roots = connected_components(links(distinct.select("fp"), radius, tile))
+    return named(held, distinct, links(distinct.select("fp"), radius, tile), id_col)
+
+
+def named(held: DataFrame, distinct: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
+    """(id_col, fp, component_id) for each row of held, where edges (a, b) link the rows (fp, rep) of distinct."""
+    roots = connected_components(edges)
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = written(rooted.join(named, "root").select(F.col("fp").alias("of"), "component_id"), "named")
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    of = written(rooted.join(least, "root").select(F.col("fp").alias("of"), "component_id"), "named")
     return held.join(of, F.col("fp") == F.col("of")).select(id_col, "fp", "component_id")
 
 
@@ -181,7 +186,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     A row without an id can't be named as a copy and stays.
     """
-    found = written(near_duplicates(docs, id_col, text_col, **options), "near")
+    return keep_least(docs, near_duplicates(docs, id_col, text_col, **options), id_col, text_col)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs without those whose component_id in found is another's; rows equal in id and text once."""
+    found = written(found, "near")
     gone = written(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("of")).distinct(), "copies")
     kept = docs.join(bounded(gone), F.col(id_col) == F.col("of"), "left_anti")
     repeated = found.groupBy(id_col).count().where((F.col("count") > 1) & F.col(id_col).isNotNull())
