@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .common import as_bytes, slices, text_or_empty, written
 
@@ -222,36 +223,52 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """docs with every matched span of min_span words or of a whole shorter item cut from its text.
 
     A document of which more than max_coverage of the words are matched goes whole. Columns are those of docs; an n_chars
-    column gets the code points of the new text. Null texts stay null. Rows whose text is not cut stay as they are.
+    column gets the code points of the new text. Null texts stay null. Rows whose text is not cut stay as they are. Every
+    block of items sees the whole text; the spans of all of them count and are cut together.
     """
     spark = docs.sparkSession
     automata = list(_blocks(items, item_col, item_text, window, block_bytes))
     schema = docs.schema
     place = schema.fieldNames().index(text_col)
     count = schema.fieldNames().index("n_chars") if "n_chars" in schema.fieldNames() else None
+    spans_name = "spans"
+    while spans_name.lower() in map(str.lower, schema.fieldNames()):
+        spans_name += "_"
+    spans_type = pa.list_(pa.int32())  # starts and ends in turn
+    wide = StructType([*schema.fields, StructField(spans_name, ArrayType(IntegerType()))])
     out = docs
-    for automaton in automata:
+    for at, automaton in enumerate(automata):
         shared = spark.sparkContext.broadcast(automaton)
+        first, last = at == 0, at == len(automata) - 1
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=first, last=last) -> Iterator[pa.RecordBatch]:
             scan, size = shared.value.scan, shared.value.window
             for batch in slices(batches, column=place):
-                keep, texts, changed = [], [], []
-                for raw in batch.column(place).cast(pa.binary()).to_pylist():
+                before = [()] * batch.num_rows if first else batch.column(len(schema)).to_pylist()
+                own = batch if first else batch.select(range(len(schema)))
+                keep, texts, changed, merged = [], [], [], []
+                for raw, held in zip(own.column(place).cast(pa.binary()).to_pylist(), before, strict=True):
                     words = words_of(raw or b"")
-                    spans = [(a, b) for a, b in scan(words)[0] if b - a >= min(min_span, size) or b - a < size]
+                    spans = _merged([*zip(held[::2], held[1::2], strict=True), *scan(words)[0]])
+                    if not last:
+                        merged.append([x for span in spans for x in span])
+                        continue
+                    spans = [(a, b) for a, b in spans if b - a >= min(min_span, size) or b - a < size]
                     keep.append(sum(b - a for a, b in spans) <= max_coverage * len(words))
                     changed.append(bool(spans))
                     texts.append(cut_spans(raw, spans) if spans else raw)
-                columns = list(batch.columns)
+                if not last:
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(merged, spans_type)], schema=own.schema.append(pa.field(spans_name, spans_type)))
+                    continue
+                columns = list(own.columns)
                 if any(changed):
-                    columns[place] = pa.array(texts, pa.binary()).cast(pa.string()).cast(batch.schema.field(place).type)
+                    columns[place] = pa.array(texts, pa.binary()).cast(pa.string()).cast(own.schema.field(place).type)
                     if count is not None:
-                        length = pc.utf8_length(columns[place]).cast(batch.schema.field(count).type)
+                        length = pc.utf8_length(columns[place]).cast(own.schema.field(count).type)
                         columns[count] = pc.if_else(pa.array(changed), length, columns[count])
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, schema=own.schema).filter(pa.array(keep, pa.bool_()))
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(run, schema if last else wide)
     return out
 
 

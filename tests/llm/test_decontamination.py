@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 from pagewright.llm import decontamination as d
 from pagewright.llm import queries
@@ -55,6 +56,18 @@ def test_spans_are_cut(spark):
     assert got == {1: (text, len(text)), 3: (None, 5), 4: ("", 5), 5: ("one two three", 13)}
 
 
+def test_number_of_blocks_does_not_change_what_is_cut(spark):
+    rng = random.Random(6)
+    w = [f"{x}{k}" for k, x in enumerate(words(rng, 400))]
+    rest = lambda n: [f"own{rng.randint(0, 10**6)}" for _ in range(n)]
+    items = [(k, " ".join(w[20 * k : 20 * k + 30])) for k in range(12)] + [(20 + k, " ".join(w[20 * k + 15 : 20 * k + 27])) for k in range(12)]
+    rows = [(k, " ".join(rest(20) + w[20 * k : 20 * k + 30] + rest(20) + w[300 - 20 * k : 330 - 20 * k] + rest(60 if k % 2 else 0)), "en", "s", 1) for k in range(12)]
+    rows += [(100 + k, " ".join(rest(40) + w[20 * k + 12 : 20 * k + 44] + rest(40)), "en", "s", 1) for k in range(12)] + [(None, None, "en", "s", 1), (200, "", None, "s", 1)]
+    table, df = spark.createDataFrame(items, "item_id long, text string"), frame(spark, rows, clash=("spans", "Spans_"))
+    one, many = (Counter(d.decontaminate(df, table, block_bytes=n).collect()) for n in (10**6, 300))
+    assert one == many and 0 < sum(one.values()) < len(rows)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert d.find_overlaps(spark.createDataFrame([], SCHEMA), none).collect() == []
