@@ -23,26 +23,29 @@ from .ranks import ranked
 
 LENGTH = 1024
 END = 0
+#: What the JSON form of the vocabulary adds to the ranks: found in texts as it stands, as tokenizers does.
+ADDED = {"<|endoftext|>": 50256}
 
 _encoders: dict[str, object] = {}
 
 
 def encoder(path: str | None = None):
-    """A byte-level BPE from a file of ranks; by default the ranks of the public 50k vocabulary."""
+    """A byte-level BPE from a file of ranks; by default the ranks of the public 50k vocabulary with its added token."""
     import public_tokenizers
     import tiktoken
 
-    path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    own = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    path = path or own
     if path not in _encoders:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _encoders[path] = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _encoders[path] = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED if path == own else {})
     return _encoders[path]
 
 
 def token_ids(text: str, path: str | None = None, end: int = END) -> np.ndarray:
     """Ids of a text as little-endian unsigned 32-bit numbers, then the end id."""
-    return np.append(encoder(path).encode_to_numpy(text, disallowed_special=()), np.uint32(end)).astype("<u4")
+    return np.append(encoder(path).encode_to_numpy(text, allowed_special="all", disallowed_special=()), np.uint32(end)).astype("<u4")
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, path: str | None = None, end: int = END, with_ids: bool = False) -> DataFrame:

@@ -38,6 +38,21 @@ def test_pieces_hold_each_id_once(spark):
     assert sorted(packs) == list(range(len(packs)))
 
 
+def test_added_tokens_inside_texts():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.ADDED == {x.content: k for k, x in tokenizer.get_added_tokens_decoder().items()}
+    mark = "<|endoftext|>"
+    for text in (f"a {mark} b", mark, mark * 3, f"one{mark}two\n\n{mark}  ", f" {mark} ", f"<|endoftext|{mark}|>", "<|ENDOFTEXT|>", "<|endoftext|", f"é  {mark}'s", f"a \n{mark}\n b"):
+        assert packing.token_ids(text).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+    assert packing.token_ids(f"a {mark} b").tolist() == [64, 220, 50256, 275, 0]
+
+
+def test_pieces_hold_added_tokens(spark):
+    rows = [(1, "a <|endoftext|> b", "en", "s", 1), (2, "a b", "en", "s", 1)]
+    got = {r.doc_id: (r.ids, r.doc_tokens) for r in packing.pack(frame(spark, rows), with_ids=True).collect()}
+    assert got == {1: ([64, 220, 50256, 275, 0], 5), 2: ([64, 275, 0], 3)}
+
+
 def test_patterns_place_every_length_with_little_padding():
     rng = random.Random(2)
     for _ in range(20):
