@@ -27,9 +27,11 @@ TABLE = 400_000
 CLASSES = 128
 WIDTH = 24
 NOISE = 10
-STEPS = 1000
-BATCH = 2048
-RATE = 0.02
+#: Passes over the counts of all triples.
+STEPS = 300
+RATE = 0.05
+#: First classes of contexts in a part of a pass.
+PART = 16
 #: Tokens that a task holds before it counts them.
 HELD = 2_000_000
 
@@ -107,29 +109,36 @@ class LogBilinear:
 
 
 def train(triples: np.ndarray, counts: np.ndarray, steps: int = STEPS, seed: int = 0) -> LogBilinear:
-    """Noise-contrastive estimation over triples of classes drawn by their counts; the noise is the classes' shares."""
+    """Noise-contrastive estimation; the noise is the classes' shares.
+
+    Each step is a pass over all triples with their counts, and the noise counts with its expectation: nothing is drawn,
+    and a step's cost depends on the number of classes alone.
+    """
     rng = np.random.default_rng(seed)
     share = np.bincount(triples[:, 2], counts, CLASSES) + 0.5 if len(triples) else np.ones(CLASSES)
     share = share / share.sum()
-    model = LogBilinear(*(rng.normal(0, 0.1, (CLASSES, WIDTH)) for _ in range(3)), np.log(share))
+    model = LogBilinear(*(rng.normal(0, 0.1, (CLASSES, WIDTH)).astype(np.float32) for _ in range(3)), np.log(share).astype(np.float32))
     if not len(triples):
         return model
-    drawn, noisy, log_noise = np.cumsum(counts / counts.sum()), np.cumsum(share), np.log(NOISE * share)
+    true = np.zeros((CLASSES, CLASSES, CLASSES), np.float32)
+    np.add.at(true, tuple(triples.T), counts / counts.sum())
+    noise, log_noise = (NOISE * share).astype(np.float32), np.log(NOISE * share).astype(np.float32)
+    total = true.sum(axis=2, keepdims=True)
     parts = [model.first, model.second, model.out, model.bias]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in parts]
-    hot = np.eye(CLASSES)
     for step in range(1, steps + 1):
-        a, b, true = triples[np.minimum(np.searchsorted(drawn, rng.random(BATCH)), len(triples) - 1)].T
-        noise = np.minimum(np.searchsorted(noisy, rng.random(NOISE * 16)), CLASSES - 1)
-        weight = NOISE / len(noise)  # one set of noise for the step, weighed as NOISE draws for each token
-        context = model.first[a] + model.second[b]
-        s_true = np.einsum("ij,ij->i", context, model.out[true]) + model.bias[true] - log_noise[true]
-        s_noise = context @ model.out[noise].T + model.bias[noise] - log_noise[noise]
-        g_true = (1 / (1 + np.exp(-s_true)) - 1) / BATCH
-        g_noise = weight / (1 + np.exp(-s_noise)) / BATCH
-        g_context = g_true[:, None] * model.out[true] + g_noise @ model.out[noise]
-        by_noise, of_true = hot[noise].T, hot[true].T
-        grads = [hot[a].T @ g_context, hot[b].T @ g_context, of_true @ (g_true[:, None] * context) + by_noise @ (g_noise.T @ context), of_true @ g_true + by_noise @ g_noise.sum(axis=0)]
+        grads = [np.zeros_like(p) for p in parts]
+        for at in range(0, CLASSES, PART):
+            own = slice(at, at + PART)
+            context = (model.first[own, None] + model.second).reshape(-1, WIDTH)
+            seen = true[own].reshape(-1, CLASSES)
+            g = context @ model.out.T + (model.bias - log_noise)
+            g = (seen + total[own].reshape(-1, 1) * noise) / (1 + np.exp(-np.clip(g, -60, 60))) - seen
+            g_context = (g @ model.out).reshape(-1, CLASSES, WIDTH)
+            grads[0][own] = g_context.sum(axis=1)
+            grads[1] += g_context.sum(axis=0)
+            grads[2] += g.T @ context
+            grads[3] += g.sum(axis=0)
         rate = RATE * (1 - 0.9 * step / steps)
         for p, g, m in zip(parts, grads, moments, strict=True):
             m[0] = 0.9 * m[0] + 0.1 * g

@@ -64,6 +64,12 @@ def test_training_finds_a_pattern():
     assert table[1, 2].argmax() == 3 and table[3, 1].argmax() == 2 and 10 ** table[5, 6, 7] > 0.5
 
 
+def test_training_passes_over_every_triple():
+    triples = np.array([[1, 2, 3], [2, 3, 1], [3, 1, 2], [5, 6, 7]])
+    table = m.train(triples, np.array([1e7, 1e7, 1e7, 1.0]), 100).log_probabilities()  # too rare to be drawn
+    assert 10 ** table[5, 6, 7] > 0.01  # its share of all is 3e-8
+
+
 def test_tokens_do_not_depend_on_the_batch():
     texts = [r[1] or "" for r in documents()] + ["ÉA é\x0bB", "a"]
     text, value, shape = m.tokens(pa.array(texts))
