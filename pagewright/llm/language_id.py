@@ -21,6 +21,8 @@ ORDER = 4
 DISCOUNT = 0.75
 #: Rows of a language that are learned from, in the mean at most; a language with fewer gives all.
 SAMPLE_ROWS = 1500
+#: A language with fewer rows is learned from all of them and never rejected; of others a fifth is held out to calibrate.
+FEW_ROWS = 50
 #: Share of a language's calibration texts that rejection may turn away.
 REJECTED = 0.005
 #: Texts with fewer letters are never rejected.
@@ -184,23 +186,29 @@ def estimate(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDE
 
 
 def _sample(rows: DataFrame, most: int) -> DataFrame:
-    """Rows (id, text, lang) whose hashed id is below a bound for the language: `most` of each language in the mean."""
+    """Rows (id, text, lang) whose hashed id is below a bound for the language: `most` of each language in the mean.
+
+    fifth: whether a row calibrates, which those of a language with few rows never do.
+    """
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    many = F.col("lang").isin([k for k, n in sizes.items() if min(n, most) >= FEW_ROWS])
+    fifth = many & (F.pmod(F.xxhash64(F.lit("fifth"), "id"), F.lit(5)) == 0)
     share = F.lit(0.0)
     for language, n in sizes.items():
         share = F.when(F.col("lang") == language, min(1.0, most / n)).otherwise(share)
-    return rows.where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) < share * (1 << 30))
+    return rows.where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) < share * (1 << 30)).withColumn("fifth", fifth)
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", use: Column | None = None, sample_rows: int = SAMPLE_ROWS, order: int = ORDER) -> Model:
-    """The model from rows with a language, those where `use` holds; a fifth of the sample calibrates rejection.
+    """The model from rows with a language, those where `use` holds; a fifth of the sample calibrates rejection,
+    but for languages with few rows, which give all to the counts.
 
     Counts come together by language and n-gram in the distribution; their number is bounded by the n-grams of the
     sample. Languages are those of the learned rows; with none, the model knows no language.
     """
     rows = docs if use is None else docs.where(use)
     rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    sampled = _sample(rows, sample_rows).withColumn("fifth", F.pmod(F.xxhash64(F.lit("fifth"), "id"), F.lit(5)) == 0)
+    sampled = _sample(rows, sample_rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -85,3 +85,12 @@ def test_hard_rows_rejection_and_empty_tables(spark):
 def test_only_the_rows_asked_for_teach(spark):
     model = l.learn(frame(spark, corpus()), use=F.col("lang") != "de")
     assert model.languages == ["en", "fr"]
+
+
+def test_languages_of_few_rows_are_all_learned(spark):
+    # before, each of these languages was in the model with a chance of 4 in 5
+    rows = [(k, chr(0x4E00 + 20 * k) * 30 + f" {k}", f"x{k:02}", "s", 1) for k in range(30)]
+    model = l.learn(frame(spark, rows))
+    assert model.languages == [f"x{k:02}" for k in range(30)]
+    got = {r.doc_id: (r.lang_pred, r.rejected) for r in l.identify(frame(spark, rows), model).collect()}
+    assert got == {r[0]: (r[2], False) for r in rows}
