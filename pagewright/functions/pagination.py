@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 PAGE_CHARS, PAGES, BUDGET = 4000, 5000, 50 * 1024 * 1024
@@ -50,3 +51,19 @@ def pages_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", li
             yield pd.DataFrame(rows, columns=["doc_id", "page", "body", "truncated"])
 
     return docs.select(id_col, text_col).mapInPandas(run, f"doc_id {kind}, page int, body string, truncated boolean")
+
+
+def budget_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
+    """(doc_id, kept_bytes, truncated): bytes of UTF-8 that each whole text keeps under the budget, whether it was cut."""
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, cuts = [], []
+            for text in batch.column(1).to_pylist():
+                kept, cut = within_budget(text or "", budget)
+                sizes.append(len(kept.encode()))
+                cuts.append(cut)
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(cuts, pa.bool_())], names=["doc_id", "kept_bytes", "truncated"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, kept_bytes long, truncated boolean")

@@ -83,6 +83,18 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", (F.substring("text", 1, 2000) == F.col("text")).alias("whole"))
 
 
+def budget_sql(budget: int) -> str:
+    """A cut falls before the character that the budget ends in: up to three bytes (8x to Bx in hex) are let go."""
+    byte = [f"substr(hex(encode(text)), {2 * (budget - k) + 1}, 1) IN ('8', '9', 'A', 'B')" for k in range(3)]
+    kept = f"CASE WHEN text IS NULL THEN 0 WHEN strlen(text) <= {budget} THEN strlen(text) WHEN NOT {byte[0]} THEN {budget} WHEN NOT {byte[1]} THEN {budget - 1} WHEN NOT {byte[2]} THEN {budget - 2} ELSE {budget - 3} END"
+    return f"SELECT doc_id, CAST({kept} AS BIGINT) AS kept_bytes, coalesce(strlen(text) > {budget}, false) AS truncated FROM documents"
+
+
+@query("u07_budget_bytes", budget_sql(pagination.BUDGET))
+def _(spark, d):
+    return pagination.budget_of(table(spark, d, "documents"))
+
+
 # the sample's words are broken at a blank before a short word, so that there is something to join
 BROKEN = r"regexp_replace(text, '(\p{Ll}{3}) (\p{Ll}{2})', '\1-' || chr(10) || '\2', 'g')"
 

@@ -5,7 +5,8 @@ from email.message import EmailMessage
 
 import pytest
 
-from pagewright.functions import html
+from pagewright import queries_corpus
+from pagewright.functions import html, pagination
 from pagewright.functions.pagination import paginate, within_budget
 from pagewright.sources import extract as x
 from pagewright.sources import sinks
@@ -108,3 +109,17 @@ def test_exports(spark, tmp_path):
     answer = json.loads(sinks.answer(rows.selectExpr("1 as rank", "path", "page"), "q", 0, 5, 1).first().json)
     assert answer["has_more"] and answer["hits"][0]["path"] == "a/[b].md"
     assert sinks.backup({"t": rows}, f"{tmp_path}/backup") == {"t": 1}
+
+
+def test_text_budget_of_whole_texts_against_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    texts = ["", None, "abc", "a" * 40, "é" * 9, "a" + "é" * 9, *("a" * k + "😀" * 5 for k in range(5)), "€" * 7]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for budget in (16, 17, 18, 19, pagination.BUDGET):
+        got = sorted(tuple(r) for r in pagination.budget_of(docs, budget=budget).collect())
+        assert got == sorted(db.execute(queries_corpus.budget_sql(budget)).fetchall())
+        assert got == [(k, len(within_budget(t or "", budget)[0].encode()), len((t or "").encode()) > budget) for k, t in enumerate(texts)]
+    assert queries_corpus.RUNS["u07_budget_bytes"](spark, str(tmp_path)).where("not truncated").count() == len(texts)
