@@ -13,13 +13,18 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset.
+
+    One of our own is on this machine: only a local master may have it.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagewright-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -31,17 +36,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Cells of a table that may be broadcast: 16 MB or so.
-BROADCAST_CELLS = 1_000_000
+#: Words of 64 bits in the table that tells touched rows, at most: some 16 MB, whatever the number of rows.
+FILTER_WORDS = 1 << 19
 
 
-def bounded(df: DataFrame, cells: Column | None = None, most: int = BROADCAST_CELLS) -> DataFrame:
-    """df, marked for broadcast if it has `most` cells at most: its rows, or the sum of `cells` over them.
+def split_off(rows: DataFrame, key: Column, touched: DataFrame, words: int = FILTER_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be among the longs of touched's only column, rows whose key isn't), together all of rows.
 
-    A larger one stays as it is, and a join with it shuffles. df should be a written table: it is read once more.
+    A table of bits of fixed size, one bit for each key modulo its length, goes out to the tasks. It never misses a key;
+    the more keys there are, the more rows are taken for touched. What then shuffles is the first part alone.
     """
-    held = df.agg(F.sum(F.lit(1) if cells is None else cells)).first()[0] or 0
-    return F.broadcast(df) if held <= most else df
+    at = lambda of: F.pmod(of, F.lit(64 * words))
+    word = lambda of: F.shiftright(at(of), 6)
+    bit = lambda of: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(of, F.lit(64)).cast("int"))
+    of = F.col(touched.columns[0])
+    bits = F.broadcast(written(touched.groupBy(word(of).alias("_word")).agg(F.bit_or(bit(of)).alias("_bits")), "bits"))
+    met = (word(key) == F.col("_word")) & (F.col("_bits").bitwiseAND(bit(key)) != 0)
+    return rows.join(bits, met, "left_semi"), rows.join(bits, met, "left_anti")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

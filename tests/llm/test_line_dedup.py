@@ -62,18 +62,27 @@ def test_empty_table(spark):
     assert d.drop_lines(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_removals_too_many_to_broadcast(spark, monkeypatch):
-    from pagewright.llm import common
-
-    rows = rows_with_lines()
-    monkeypatch.setattr(d, "bounded", lambda df, cells=None: common.bounded(df, cells, most=0))
+def test_first_of_rows_without_ids_and_of_texts_of_one_id(spark):
+    rows = [(None, "shared", "en", f"s{k}", 1) for k in range(3)] + [(1, f"again\n{k}", "en", f"s{k}", 1) for k in range(3)]
     got = d.drop_lines(frame(spark, rows), min_sites=3).collect()
-    assert Counter((r.doc_id, r.text, r.n_removed_lines) for r in got) == brute(rows, 3)
+    assert Counter(r.text for r in got if r.doc_id is None) == {"shared": 3}  # equal rows of an id are treated alike
+    assert sum(r.text.startswith("again") for r in got) == 1 and sum(r.n_removed_lines for r in got) == 2
+
+
+def test_a_long_text_of_repeated_lines(spark):
+    rows = [(k, "same\n" * 200_000 + f"end {k}", "en", f"s{k}", 1) for k in range(3)]
+    got = {r.doc_id: r.text for r in d.drop_lines(frame(spark, rows), min_sites=3).collect()}
+    assert got[0] == "same\n" + "end 0" and got[1] == "end 1" and got[2] == "end 2"
+
 
+@pytest.mark.parametrize("words", [1, 1 << 10])
+def test_split_off_never_misses_a_row(spark, words):
+    from pyspark.sql import functions as F
 
-def test_bounded_marks_small_tables_only(spark):
-    from pagewright.llm.common import bounded
+    from pagewright.llm.common import split_off
 
-    plan = lambda df: df._jdf.queryExecution().logical().toString()
-    df = spark.range(10)
-    assert "hint" in plan(bounded(df, most=10)).lower() and "hint" not in plan(bounded(df, most=9)).lower()
+    rows = spark.range(3000).select("id", F.xxhash64("id").alias("k"))
+    some, rest = split_off(rows, F.col("k"), rows.where("id % 50 = 0").select("k"), words)
+    a, b = [r.id for r in some.collect()], [r.id for r in rest.collect()]
+    assert sorted(a + b) == list(range(3000)) and {k for k in range(0, 3000, 50)} <= set(a)
+    assert words == 1 or len(a) < 100
