@@ -3,24 +3,22 @@
 Fingerprints are compared once each, however many documents carry them. Two of them within the radius agree on all of
 m - radius out of m blocks of their bits for some choice of blocks, so each goes under one key for each choice; m grows
 with the number of fingerprints, so that a key stays short of company. The fingerprints of a key are split into tiles
-of bounded size, pairs of tiles are compared by exclusive-or and bit counts in numpy, ordered by population count so
-that runs whose counts differ beyond the radius are skipped, and each comparison hands on a spanning forest of its
-links. Every pair within the radius meets in some tile pair: no link is lost.
+of bounded size by population count; pairs of tiles whose counts differ beyond the radius are never formed, the others
+are compared by exclusive-or and bit counts in numpy, and each comparison hands on a spanning forest of its links. Every pair within the radius meets in some tile pair: no link is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded, text_or_empty, written
+from .common import as_bytes, slices, split_off, text_or_empty, written
 from .components import connected_components
 
 RADIUS = 4
@@ -51,15 +49,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id_col, fp): a row for each row of docs; fp holds the 64 bits as a signed long. Null text: no word, fp 0."""
+    """(id_col, text_key, fp): a row for each row of docs; fp holds the 64 bits as a signed long. Null text: no word, fp 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = np.fromiter((fingerprint(x, shingle) for x in as_bytes(batch.column(1))), np.uint64, batch.num_rows)
-            yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], names=[id_col, "fp"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(found.view(np.int64))], names=[id_col, "text_key", "fp"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return docs.select(id_col, text_or_empty(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    source = docs.select(F.col(id_col), text_or_empty(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    return source.mapInArrow(run, f"`{id_col}` {kind}, text_key long, fp long")
 
 
 def blocks_for(n: int, radius: int = RADIUS, company: int = COMPANY) -> int:
@@ -114,20 +113,43 @@ def forest(fps: np.ndarray, side: np.ndarray | None = None, radius: int = RADIUS
     return fps[moved], fps[labels[moved]]
 
 
+def _tiles(keyed: DataFrame, tile: int) -> DataFrame:
+    """(way, key, pop, first, parts): the tiles of each key's fingerprints with pop bits set, numbered from `first`.
+
+    Tiles are runs of population counts, about `tile` fingerprints each; a single count with more of them has `parts`
+    tiles. A key has a row for each of 65 counts at most. Keys with one fingerprint have none.
+    """
+    size = keyed.groupBy("way", "key", "pop").agg(F.count("*").alias("n"))
+    whole = Window.partitionBy("way", "key")
+    upto = whole.orderBy("pop").rowsBetween(Window.unboundedPreceding, -1)
+    placed = size.withColumn("all", F.sum("n").over(whole)).where(F.col("all") > 1).withColumn("parts", F.ceil(F.col("n") / tile).cast("int"))
+    # a count with parts of its own starts a new run of tiles, and so does the count after it
+    before = F.coalesce(F.sum(F.when(F.col("parts") > 1, 0).otherwise(F.col("n"))).over(upto), F.lit(0))
+    run = F.floor(before / tile)
+    wide = placed.withColumns({"run": run, "wide": F.coalesce(F.sum(F.when(F.col("parts") > 1, F.col("parts") + 1).otherwise(0)).over(upto), F.lit(0))})
+    return wide.select("way", "key", "pop", (F.col("run") + F.col("wide") + F.when(F.col("parts") > 1, 1).otherwise(0)).cast("int").alias("first"), "parts")
+
+
+def tile_pairs(tiles: DataFrame, radius: int) -> DataFrame:
+    """(way, key, i, j): the pairs of tiles, i <= j, whose population counts differ by the radius at most."""
+    own = tiles.select("way", "key", "pop", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("i"))
+    spans = own.groupBy("way", "key", "i").agg(F.min("pop").alias("low"), F.max("pop").alias("high"))
+    other = spans.select(F.col("way").alias("w"), F.col("key").alias("k"), F.col("i").alias("j"), F.col("low").alias("low_j"))
+    near = (F.col("way") == F.col("w")) & (F.col("key") == F.col("k")) & (F.col("i") <= F.col("j")) & (F.col("low_j") - F.col("high") <= radius)
+    return spans.join(other, near).select("way", "key", "i", "j")
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """(a, b): edges that connect what the links within the radius connect, among the distinct longs of column fp."""
     ways = masks(blocks_for(distinct.count(), radius), radius)
     signed = [x - (1 << 64) if x >> 63 else x for x in ways]
-    keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(x)) for x in signed])).alias("way", "key"))
-    size = keyed.groupBy("way", "key").agg(F.count("*").alias("n")).where("n > 1")
-    tiles = F.ceil(F.col("n") / tile).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("t")).cast("int")
-    met = (
-        keyed.join(size, ["way", "key"]).withColumn("t", tiles).withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
-        .select("way", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own"), "fp")
-    )
-    met = met.repartition("way", "key", "i", "j").sortWithinPartitions("way", "key", "i", "j")
+    keyed = distinct.select("fp", F.bit_count("fp").alias("pop"), F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(x)) for x in signed])).alias("way", "key"))
+    tiles = written(_tiles(keyed, tile), "tiles")
+    pairs = tile_pairs(tiles, radius)
+    sides = pairs.select("way", "key", F.col("i").alias("own"), "i", "j").unionByName(pairs.where("i < j").select("way", "key", F.col("j").alias("own"), "i", "j"))
+    part = F.col("first") + F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    met = keyed.join(tiles, ["way", "key", "pop"]).select("way", "key", part.alias("own"), "fp").join(sides, ["way", "key", "own"])
+    met = met.select("way", "key", "i", "j", "own", "fp").repartition("way", "key", "i", "j").sortWithinPartitions("way", "key", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.empty((0, 6), np.int64)
@@ -161,48 +183,53 @@ def _groups(rows: np.ndarray, cuts: np.ndarray, radius: int) -> Iterator[pa.Reco
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, tile: int = TILE) -> DataFrame:
-    """(id_col, fp, component_id): a row for each row of docs.
+    """(id_col, text_key, fp, component_id, component_key): a row for each row of docs.
 
-    component_id is the least id among the documents reachable over links of at most `radius` differing bits. Texts
-    that are null, empty or blank have fingerprint 0 and link as any other. Repeated rows stay, with the same values.
-    A null id never becomes a component's id unless the component has no other. Other columns of docs are not read.
+    component_id is the least id among the documents reachable over links of at most `radius` differing bits, and
+    component_key the text_key of its text (the least one, if several rows share the id). Texts that are null, empty or
+    blank have fingerprint 0 and link as any other. Repeated rows stay, with the same values. A null id comes after all
+    others: it is a component's id only where the component has no other. Other columns of docs are not read.
     """
     held = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = written(held.groupBy("fp").agg(F.min(id_col).alias("rep")), "distinct")
+    distinct = written(held.groupBy("fp").agg(first_row(id_col).alias("rep")), "distinct")
     return named(held, distinct, links(distinct.select("fp"), radius, tile), id_col)
 
 
+def first_row(id_col: str) -> Column:
+    """The least (late, id, key) of some rows: null ids are late."""
+    return F.min(F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("id"), F.col("text_key").alias("key")))
+
+
 def named(held: DataFrame, distinct: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
-    """(id_col, fp, component_id) for each row of held, where edges (a, b) link the rows (fp, rep) of distinct."""
+    """(id_col, text_key, fp, component_id, component_key) for each row of held, where edges (a, b) link the rows (fp, rep) of distinct."""
     roots = connected_components(edges)
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = written(rooted.join(least, "root").select(F.col("fp").alias("of"), "component_id"), "named")
-    return held.join(of, F.col("fp") == F.col("of")).select(id_col, "fp", "component_id")
+    least = rooted.groupBy("root").agg(F.min("rep").alias("first"))
+    of = written(rooted.join(least, "root").select(F.col("fp").alias("of"), F.col("first.id").alias("component_id"), F.col("first.key").alias("component_key")), "named")
+    return held.join(of, F.col("fp") == F.col("of")).select(id_col, "text_key", "fp", "component_id", "component_key")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
-    """docs without those that have a near-duplicate of smaller id; rows equal in id and text are one document.
-
-    A row without an id can't be named as a copy and stays.
-    """
+    """docs with one row of each component: that of component_id and component_key. See keep_least."""
     return keep_least(docs, near_duplicates(docs, id_col, text_col, **options), id_col, text_col)
 
 
 def keep_least(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs without those whose component_id in found is another's; rows equal in id and text once."""
-    found = written(found, "near")
-    gone = written(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("of")).distinct(), "copies")
-    kept = docs.join(bounded(gone), F.col(id_col) == F.col("of"), "left_anti")
-    repeated = found.groupBy(id_col).count().where((F.col("count") > 1) & F.col(id_col).isNotNull())
-    return kept if repeated.isEmpty() else kept.dropDuplicates([id_col, text_col])
-
+    """docs with one row for each component in found: the row whose id and text are the component's.
 
-def expected_rows(n: int, radius: int = RADIUS) -> int:
-    """Rows that the keys of n fingerprints make."""
-    return n * comb(blocks_for(n, radius), radius)
-
-
-def tile_pairs(n: int, tile: int = TILE) -> int:
-    t = ceil(n / tile)
-    return t * (t + 1) // 2
+    Rows are told apart by id and text, so a text that shares its id with a copy stays. Null ids are ids like others,
+    the last in order. Of rows equal in both one stays, whichever; if their other columns differ, which is open. Only
+    documents that have a copy are shuffled.
+    """
+    key = lambda id_, text_key: F.xxhash64(F.col(id_).isNull(), F.col(id_), text_key)
+    text_key = F.xxhash64(text_or_empty(text_col))
+    stays = F.col(id_col).eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("component_key"))
+    rows = written(found.select(key(id_col, F.col("text_key")).alias("_of"), stays.alias("stays")), "near")
+    gone = written(rows.where("not stays").select("_of").distinct(), "copies")
+    some, rest = split_off(docs, key(id_col, text_key), gone)
+    kept = some.join(gone.hint("merge"), key(id_col, text_key) == F.col("_of"), "left_anti").unionByName(rest)
+    twice = written(rows.where("stays").groupBy("_of").count().where("count > 1").select("_of"), "repeated")
+    if twice.isEmpty():
+        return kept
+    some, rest = split_off(kept, key(id_col, text_key), twice)
+    return some.dropDuplicates([id_col, text_col]).unionByName(rest)

@@ -92,6 +92,39 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(x for x in least.values() if x is not None)
 
 
+def test_texts_that_share_ids_and_rows_without_ids(spark):
+    t, u, v = ("one two three four five six seven", "quite another text of nine words to be kept", "a third text that stands alone among all others here")
+    rows = [(1, t, "en", "s", 1), (5, t, "en", "s", 1), (5, u, "en", "s", 1), (None, v, "en", "s", 1), (None, v, "fr", "s", 1), (None, u, "en", "s", 1)]
+    got = Counter((r.doc_id, r.text) for r in simhash.keep_one(frame(spark, rows)).collect())
+    assert got == {(1, t): 1, (5, u): 1, (None, v): 1}
+    more = [*rows, (7, "some other words that nothing here shares at all", "en", "s", 1)] * 2
+    assert Counter((r.doc_id, r.text) for r in simhash.keep_one(frame(spark, more)).collect()) == {**got, (7, more[6][1]): 1}
+
+
+def test_tiles_by_population_count(spark):
+    rng = np.random.default_rng(9)
+    seeds = [int(x) for x in rng.integers(0, 1 << 63, 40)] + [0, (1 << 64) - 1]
+    near = [s ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), replace=False)) for s in seeds for _ in range(8)]
+    fps = sorted({x for x in [*seeds, *near]})
+    distinct = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    groups = brute_components(fps)
+    for tile in (1, 2, 7, 64, 4096):
+        edges = simhash.links(distinct, tile=tile)
+        root = {r.node: r.root for r in connected_components(edges).collect()}
+        signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+        named = [root.get(x, x) for x in signed]
+        assert len(set(zip(named, groups))) == len(set(named)) == len(set(groups))
+    one = spark.createDataFrame([(0, 0, p, k) for p in (1, 2, 9, 10, 11, 30) for k in range(p)], "way int, key long, pop int, fp long")
+    tiles = simhash._tiles(one, 8)
+    pops = {}
+    for r in tiles.collect():
+        for k in range(r.first, r.first + r.parts):
+            pops.setdefault(k, set()).add(r.pop)
+    pairs = {(r.i, r.j) for r in simhash.tile_pairs(tiles, 4).collect()}
+    want = {(i, j) for i in pops for j in pops if i <= j and min(abs(x - y) for x in pops[i] for y in pops[j]) <= 4}
+    assert want <= pairs and all(min(pops[j]) - max(pops[i]) <= 4 for i, j in pairs)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (101, 100)], "a long, b long")
     got = {r.node: r.root for r in connected_components(edges).collect()}
