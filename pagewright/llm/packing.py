@@ -8,7 +8,9 @@ pieces of its length.
 
 from __future__ import annotations
 
-import base64
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from heapq import heappop, heappush
@@ -23,29 +25,88 @@ from .ranks import ranked
 
 LENGTH = 1024
 END = 0
-#: What the JSON form of the vocabulary adds to the ranks: found in texts as it stands, as tokenizers does.
-ADDED = {"<|endoftext|>": 50256}
+VOCABULARY = "byte_bpe_50k.json"
+#: Parts of texts whose ids a worker keeps (twice as many at most, some 120 MB), and characters of a part that is kept.
+KNOWN, KNOWN_CHARS = 300_000, 48
+#: Characters of a text that are cut in parts at a time.
+STRETCH = 1 << 20
 
-_encoders: dict[str, object] = {}
+#: Fixed value: how the JSON form says that bytes are merged within words, each with one blank before it.
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
 
-def encoder(path: str | None = None):
-    """A byte-level BPE from a file of ranks; by default the ranks of the public 50k vocabulary with its added token."""
-    import public_tokenizers
-    import tiktoken
+class Encoder:
+    """Ids by tokenizers. Texts are cut before words, where no id can span; the ids of frequent parts are kept.
 
-    own = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    path = path or own
+    Words are made of what follows one blank, so a text falls apart before each blank with a solid character behind it:
+    blanks before that blank are one run, with or without what follows. A part that an added token might begin is not
+    cut off. Vocabularies with other rules get the whole text.
+    """
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
+        self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        added = rules["added_tokens"]
+        level = {k: v for k, v in (rules["pre_tokenizer"] or {}).items() if k in _BYTE_LEVEL}
+        plain = level == _BYTE_LEVEL and rules["normalizer"] is None and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or " " in x["content"] for x in added)
+        heads = "".join(sorted({re.escape(x["content"][0]) for x in added}))
+        self.cut = re.compile(rf" (?=[^\s{heads}])") if plain else None
+        self.known: dict[str, bytes] = {}  # what was met lately,
+        self.before: dict[str, bytes] = {}  # and what was known when that last grew too large
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _stretch(self, text: str, inside: bool) -> list[bytes]:
+        """The ids of a stretch that begins before a word; inside: its first blank is left out."""
+        head, *parts = self.cut.split(text)
+        if inside:
+            parts.insert(0, head)
+        out = list(map(self.known.get, parts))
+        lack = {x for x, found in zip(parts, out, strict=True) if found is None}
+        if lack:
+            new = {x: self.before[x] for x in lack if x in self.before}
+            rest = [x for x in lack if x not in new]
+            new.update(zip(rest, self._encoded([" " + x for x in rest]), strict=True))
+            out = [new[x] if found is None else found for x, found in zip(parts, out, strict=True)]
+            if len(self.known) + len(new) > KNOWN:
+                self.known, self.before = {}, self.known
+            self.known.update((k, v) for k, v in new.items() if len(k) <= KNOWN_CHARS)
+        return out if inside else [*self._encoded([head]), *out]
+
+    def ids(self, text: str) -> np.ndarray:
+        """Little-endian unsigned 32-bit ids."""
+        if self.cut is None:
+            return np.frombuffer(b"".join(self._encoded([text])), "<u4")
+        out, at, inside = [], 0, False
+        while at < len(text):
+            found = self.cut.search(text, at + STRETCH) if len(text) - at > STRETCH else None
+            end = found.start() if found else len(text)
+            out += self._stretch(text[at:end], inside)
+            at, inside = end + 1, True
+        return np.frombuffer(b"".join(out), "<u4")
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str | None = None) -> Encoder:
+    """The encoder of a JSON vocabulary file, by default the public 50k byte-level BPE; loaded once in a process."""
+    if path is None:
+        import public_tokenizers
+
+        path = str(public_tokenizers.path(VOCABULARY))
     if path not in _encoders:
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _encoders[path] = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED if path == own else {})
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
 def token_ids(text: str, path: str | None = None, end: int = END) -> np.ndarray:
     """Ids of a text as little-endian unsigned 32-bit numbers, then the end id."""
-    return np.append(encoder(path).encode_to_numpy(text, allowed_special="all", disallowed_special=()), np.uint32(end)).astype("<u4")
+    return np.append(encoder(path).ids(text), np.uint32(end)).astype("<u4")
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, path: str | None = None, end: int = END, with_ids: bool = False) -> DataFrame:
@@ -125,8 +186,9 @@ def places(found: list[tuple[tuple[int, ...], int]], length: int = LENGTH) -> di
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, path: str | None = None, end: int = END, with_ids: bool = False) -> DataFrame:
     """The pieces of docs with sequence_id and offset; with_ids also carries the ids themselves.
 
-    Null and empty texts are the end id alone. Repeated rows are packed as often as they come. An empty table gives no
-    piece. Other columns of docs are not read.
+    Null and empty texts are the end id alone. Repeated rows are packed as often as they come. Pieces of one length take
+    their places in order of id, start, tokens and checksum; pieces equal in all of these are alike. An empty table gives
+    no piece. Other columns of docs are not read.
     """
     held = written(pieces(docs, id_col, text_col, length, path, end, with_ids), "pieces")
     histogram = {r["length"]: r["count"] for r in held.groupBy("length").count().collect()}

@@ -40,13 +40,50 @@ def test_pieces_hold_each_id_once(spark):
 
 def test_added_tokens_inside_texts():
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    assert packing.ADDED == {x.content: k for k, x in tokenizer.get_added_tokens_decoder().items()}
     mark = "<|endoftext|>"
-    for text in (f"a {mark} b", mark, mark * 3, f"one{mark}two\n\n{mark}  ", f" {mark} ", f"<|endoftext|{mark}|>", "<|ENDOFTEXT|>", "<|endoftext|", f"é  {mark}'s", f"a \n{mark}\n b"):
+    for text in (f"a {mark} b", mark, mark * 3, f"one{mark}two\n\n{mark}  ", f" {mark} ", f"<|endoftext|{mark}|>", "<|ENDOFTEXT|>", "<|endoftext|", f"é  {mark}'s", f"a \n{mark}\n b", f"a  {mark}  b", f"a   <b  {mark}", f"\u00a0 {mark}\x1c x"):
         assert packing.token_ids(text).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
     assert packing.token_ids(f"a {mark} b").tolist() == [64, 220, 50256, 275, 0]
 
 
+def test_cut_texts_have_the_ids_of_whole_ones(monkeypatch):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(11)
+    marks = [" ", "  ", "   ", "\n", "\n ", " \n", "\t", "\u00a0", "\u2003 ", "\x1c", "\x85", "'s", " 's", "é", "ab", "Word", "12", " 7", "...", " <", "<|endoftext|>", "日本", "\U0001f600", "'", "’"]
+    monkeypatch.setattr(packing, "STRETCH", 40)
+    monkeypatch.setattr(packing, "KNOWN", 300)
+    for _ in range(3000):
+        text = "".join(rng.choice(marks) for _ in range(rng.randint(0, 60)))
+        assert packing.token_ids(text).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0], repr(text)
+
+
+def test_long_texts_of_one_kind():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in (" " * 1_000_000, "\n" * 1_000_000, "a" * 300_000, "ab " * 500_000, " \n" * 300_000):
+        assert packing.token_ids(text).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+
+
+def plain_shortest_pack_first(histogram, length):
+    """Each length, longest first, into the shortest pack, a new one if that has no room: what each pack holds."""
+    packs = []
+    for size in sorted((k for k, n in histogram.items() for _ in range(n)), reverse=True):
+        at = min(range(len(packs)), key=packs.__getitem__, default=None)
+        if at is not None and packs[at] + size <= length:
+            packs[at] += size
+        else:
+            packs.append(size)
+    return sorted(packs)
+
+
+def test_patterns_against_a_plain_version():
+    rng = random.Random(12)
+    for _ in range(60):
+        length = rng.choice([16, 64, 100])
+        histogram = {rng.randint(1, length): rng.randint(1, 30) for _ in range(rng.randint(1, 25))}
+        found = packing.patterns(histogram, length)
+        assert sorted(sum(p) for p, n in found for _ in range(n)) == plain_shortest_pack_first(histogram, length)
+
+
 def test_pieces_hold_added_tokens(spark):
     rows = [(1, "a <|endoftext|> b", "en", "s", 1), (2, "a b", "en", "s", 1)]
     got = {r.doc_id: (r.ids, r.doc_tokens) for r in packing.pack(frame(spark, rows), with_ids=True).collect()}
