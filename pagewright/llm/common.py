@@ -36,6 +36,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """name, or a longer one that is no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Words of 64 bits in the table that tells touched rows, at most: some 16 MB, whatever the number of rows.
 FILTER_WORDS = 1 << 19
 
@@ -50,8 +58,9 @@ def split_off(rows: DataFrame, key: Column, touched: DataFrame, words: int = FIL
     word = lambda of: F.shiftright(at(of), 6)
     bit = lambda of: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(of, F.lit(64)).cast("int"))
     of = F.col(touched.columns[0])
-    bits = F.broadcast(written(touched.groupBy(word(of).alias("_word")).agg(F.bit_or(bit(of)).alias("_bits")), "bits"))
-    met = (word(key) == F.col("_word")) & (F.col("_bits").bitwiseAND(bit(key)) != 0)
+    of_word, of_bits = free(rows, "_word"), free(rows, "_bits")
+    bits = F.broadcast(written(touched.groupBy(word(of).alias(of_word)).agg(F.bit_or(bit(of)).alias(of_bits)), "bits"))
+    met = (word(key) == F.col(of_word)) & (F.col(of_bits).bitwiseAND(bit(key)) != 0)
     return rows.join(bits, met, "left_semi"), rows.join(bits, met, "left_anti")
 
 

@@ -1,28 +1,31 @@
 """Benchmark decontamination with a generalised suffix automaton over words.
 
-The automaton of the normalised test items is built on the driver from blocks of bounded size and broadcast; documents
-stream through it word by word. The longest match that ends at each word says which windows occur: a match of at least
-`window` words lies wholly inside occurrences, and an item shorter than that counts as one window of its own.
+The automata of the normalised test items are built on the driver, one after the other, each over a block of bounded
+size, and broadcast; documents stream past some of them at a time, word by word. The longest match that ends at each
+word says which windows occur: a match of at least `window` words lies wholly inside occurrences, and an item shorter
+than that counts as one window of its own.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from math import ceil
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .common import as_bytes, slices, text_or_empty, written
+from .common import as_bytes, free, slices, split_off, text_or_empty, written
 
 WINDOW = 10
-#: Bytes of test items for one automaton, in the mean; more items go into more automata, each with a pass of its own.
+#: Bytes of test items for one automaton, in the mean (some 20 MB of memory).
 BLOCK_BYTES = 600_000
+#: Automata that a task holds at a time; more of them mean another pass over the documents.
+PASS_BLOCKS = 8
 
 #: Lower case for A-Z; digits, a-z and bytes from 0x80 stay; all else parts words. Bytes keep their places.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -34,116 +37,155 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """Generalised suffix automaton of word sequences, with the items of each window."""
+    """Generalised suffix automaton of word sequences, with the items of each window.
 
-    def __init__(self, items: Iterable[tuple[int, list[bytes]]], window: int = WINDOW) -> None:
+    Nearly all states have one transition: its word and target stand in flat arrays, those beyond the first in `more`.
+    A window is a number: its state times window + 1, plus its words.
+    """
+
+    def __init__(self, items: Iterable[tuple[object, list[bytes]]], window: int = WINDOW) -> None:
         self.window = window
-        self.next: list[dict[bytes, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        kept = [(k, w) for k, w in items if w]
+        self.number: dict[bytes, int] = {}
+        self.word, self.to, self.more = array("i", [-1]), array("i", [-1]), {}
+        self.link, self.length = array("i", [-1]), array("i", [0])
+        number = lambda w: self.number.setdefault(w, len(self.number))
+        kept = [(str(k), [number(x) for x in w]) for k, w in items if w]
         for _, words in kept:
             last = 0
             for word in words:
                 last = self._extend(last, word)
         self._windows(kept)
 
-    def _extend(self, last: int, word: bytes) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        if word in nxt[last]:
-            at = nxt[last][word]
-            return at if length[at] == length[last] + 1 else self._clone(last, word, at)
-        new = len(nxt)
-        nxt.append({})
-        link.append(0)
-        length.append(length[last] + 1)
+    def _next(self, state: int, word: int) -> int:
+        if self.word[state] == word:
+            return self.to[state]
+        return self.more[state].get(word, -1) if state in self.more else -1
+
+    def _point(self, state: int, word: int, to: int) -> None:
+        if self.word[state] in (-1, word):
+            self.word[state], self.to[state] = word, to
+        else:
+            self.more.setdefault(state, {})[word] = to
+
+    def _add(self, link: int, length: int) -> int:
+        self.word.append(-1)
+        self.to.append(-1)
+        self.link.append(link)
+        self.length.append(length)
+        return len(self.word) - 1
+
+    def _extend(self, last: int, word: int) -> int:
+        at = self._next(last, word)
+        if at >= 0:
+            return at if self.length[at] == self.length[last] + 1 else self._clone(last, word, at)
+        new = self._add(0, self.length[last] + 1)
         p = last
-        while p >= 0 and word not in nxt[p]:
-            nxt[p][word] = new
-            p = link[p]
+        while p >= 0 and self._next(p, word) < 0:
+            self._point(p, word, new)
+            p = self.link[p]
         if p >= 0:
-            q = nxt[p][word]
-            link[new] = q if length[q] == length[p] + 1 else self._clone(p, word, q)
+            q = self._next(p, word)
+            self.link[new] = q if self.length[q] == self.length[p] + 1 else self._clone(p, word, q)
         return new
 
-    def _clone(self, p: int, word: bytes, q: int) -> int:
-        copy = len(self.next)
-        self.next.append(dict(self.next[q]))
-        self.link.append(self.link[q])
-        self.length.append(self.length[p] + 1)
+    def _clone(self, p: int, word: int, q: int) -> int:
+        copy = self._add(self.link[q], self.length[p] + 1)
+        self.word[copy], self.to[copy] = self.word[q], self.to[q]
+        if q in self.more:
+            self.more[copy] = dict(self.more[q])
         self.link[q] = copy
-        while p >= 0 and self.next[p].get(word) == q:
-            self.next[p][word] = copy
+        while p >= 0 and self._next(p, word) == q:
+            self._point(p, word, copy)
             p = self.link[p]
         return copy
 
-    def _windows(self, items: list[tuple[int, list[bytes]]]) -> None:
-        """of: state of a whole window -> items; up: state -> states of windows that end where it ends, longest first."""
-        self.of: dict[tuple[int, int], set[int]] = {}
+    def _windows(self, items: list[tuple[str, list[int]]]) -> None:
+        """of: window -> an item, or several; own, several: windows that end where a state ends, one or more of them."""
+        step = self.window + 1
+        of: dict[int, set[int]] = {}
+        self.items = sorted({item for item, _ in items})
+        place = {item: k for k, item in enumerate(self.items)}
+        sizes: dict[int, set[int]] = {}
         for item, words in items:
             n = min(self.window, len(words))
-            for state, at in self._ends(words):
+            end = 0
+            for at, word in enumerate(words):
+                end = self._next(end, word)
+                state = end
                 if at + 1 >= n:
                     while self.length[self.link[state]] >= n:
                         state = self.link[state]
                     # one window at most for a state and a length: strings of a state are suffixes of one another
-                    self.of.setdefault((state, n), set()).add(item)
-        sizes: dict[int, list[int]] = {}
-        for state, n in self.of:
-            sizes.setdefault(state, []).append(n)
-        self.up: list[tuple[tuple[int, int], ...]] = [()] * len(self.next)
-        for state in sorted(range(len(self.next)), key=self.length.__getitem__):
-            above = self.up[self.link[state]] if state else ()
-            own = tuple((n, state) for n in sorted(sizes.get(state, ()), reverse=True))
-            self.up[state] = own + above
-
-    def _ends(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
-        state = 0
-        for at, word in enumerate(words):
-            state = self.next[state][word]
-            yield state, at
-
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
+                    of.setdefault(state * step + n, set()).add(place[item])
+                    sizes.setdefault(state, set()).add(n)
+        self.of = {k: next(iter(v)) if len(v) == 1 else tuple(sorted(v)) for k, v in of.items()}
+        self.own, self.several = array("q", [-1]) * len(self.word), {}
+        for state in sorted(range(1, len(self.word)), key=self.length.__getitem__):
+            above = self.link[state]
+            ends = self.several.get(above, (self.own[above],) if self.own[above] >= 0 else ())
+            if state in sizes:
+                ends = (*(state * step + n for n in sorted(sizes[state], reverse=True)), *ends)
+            if ends:
+                self.own[state] = ends[0]
+            if len(ends) > 1:
+                self.several[state] = ends
+
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Merged spans [start, end) of words inside window occurrences, and the items with an occurring window."""
-        nxt, link, length, up = self.next, self.link, self.length, self.up
+        first, target, more, link, length, own, several, step = self.word, self.to, self.more, self.link, self.length, self.own, self.several, self.window + 1
+        number = self.number.get
         spans: list[tuple[int, int]] = []
-        found: set[tuple[int, int]] = set()
+        found: set[int] = set()
         state = matched = 0
-        root = nxt[0]
-        for at, word in enumerate(words):
-            if state:
-                to = nxt[state].get(word)
-                while to is None and state:
-                    state = link[state]
-                    matched = length[state]
-                    to = nxt[state].get(word)
-            else:
-                to = root.get(word)
-            if to is None:
+        for at, raw in enumerate(words):
+            word = number(raw)
+            if word is None:
+                state = matched = 0
+                continue
+            while True:
+                if first[state] == word:
+                    to = target[state]
+                else:
+                    to = more[state].get(word, -1) if state in more else -1
+                if to >= 0 or not state:
+                    break
+                state = link[state]
+                matched = length[state]
+            if to < 0:
                 continue
             state, matched = to, matched + 1
-            here = up[state]
-            if not here:
+            if own[state] < 0:
                 continue
             most = 0
-            for n, owner in here:
+            for key in several[state] if state in several else (own[state],):
+                n = key % step
                 if n <= matched:
-                    found.add((owner, n))
+                    found.add(key)
                     most = n if n > most else most
             if most:
                 start = at + 1 - most
                 while spans and spans[-1][1] >= start:
                     start = min(start, spans.pop()[0])
                 spans.append((start, at + 1))
-        return spans, set().union(*(self.of[x] for x in found)) if found else set()
+        held = [self.of[x] for x in found]
+        return spans, {self.items[k] for x in held for k in (x if isinstance(x, tuple) else (x,))}
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[SuffixAutomaton]:
-    """Automata over all items, each over about block_bytes of text."""
-    held = items.select(F.col(id_col).alias("item"), text_or_empty(text_col).alias("text")).where(F.col("item").isNotNull())
+def _passes(items: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[list[Broadcast]]:
+    """Automata over all items, each over about block_bytes of text, as many at a time as a pass takes.
+
+    The driver holds one automaton at a time; a broadcast one lies in files and in the block manager.
+    """
+    context = items.sparkSession.sparkContext
+    held = written(items.select(F.col(id_col).alias("item"), text_or_empty(text_col).alias("text")).where(F.col("item").isNotNull()).distinct(), "items")
     blocks = max(1, ceil((held.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes))
+    out = []
     for k in range(blocks):
-        rows = held.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).distinct().collect()
-        yield SuffixAutomaton([(r.item, words_of(r.text.encode())) for r in sorted(rows, key=lambda r: (str(r.item), r.text))], window)
+        rows = held.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()
+        out.append(context.broadcast(SuffixAutomaton([(r.item, words_of(r.text.encode())) for r in sorted(rows, key=lambda r: (str(r.item), r.text))], window)))
+        if len(out) == PASS_BLOCKS or k == blocks - 1:
+            yield out
+            out = []
 
 
 def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -156,6 +198,40 @@ def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _scanned(docs: DataFrame, automata: list[Broadcast], text_col: str, keys: list[Column]) -> DataFrame:
+    """The keys of each row, n_words, spans and items of some automata together."""
+    rows = docs.select(*keys, text_or_empty(text_col).alias("text"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
+    names, place = [*rows.columns[:-1], "n_words", "spans", "items"], len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, column=place):
+            counts, spans, items = [], [], []
+            for text in as_bytes(batch.column(place)):
+                words = words_of(text)
+                got = [x.value.scan(words) for x in automata]
+                whole = got[0][0] if len(got) == 1 else _merged(y for x, _ in got for y in x)
+                counts.append(len(words))
+                spans.append([{"start": a, "end": b} for a, b in whole])
+                items.append(sorted(set().union(*(y for _, y in got))))
+            columns = [*batch.columns[:place], pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return rows.mapInArrow(run, f"{fields}, n_words long, spans array<struct<start:int,end:int>>, items array<string>")
+
+
+def _joined(spans: Column) -> Column:
+    """The spans in order, those that meet made one."""
+    empty = F.array().cast("array<struct<start:int,end:int>>")
+    last = lambda acc: F.element_at(acc, -1)
+    longer = lambda acc, x: F.array(F.struct(last(acc).start.alias("start"), F.greatest(last(acc).end, x.end).alias("end")))
+    add = lambda acc, x: F.when((F.size(acc) > 0) & (last(acc).end >= x.start), F.concat(F.slice(acc, 1, F.size(acc) - 1), longer(acc, x))).otherwise(F.concat(acc, F.array(x)))
+    return F.aggregate(F.array_sort(spans), empty, add)
+
+
 def find_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row for each row of docs: id_col, text_key, n_words, spans (of words, merged, end exclusive), items.
 
@@ -163,48 +239,24 @@ def find_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     words, spans or items. Items without words or id have no window. Item ids come back as text, each once, sorted.
     Repeated rows of docs come back as often. Other columns of docs are not read.
     """
-    spark = docs.sparkSession
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    out = pa.schema([("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string()))])
-    source = docs.select(F.col(id_col), text_or_empty(text_col).alias("text"))
-
-    def matched(automaton: SuffixAutomaton) -> DataFrame:
-        shared = spark.sparkContext.broadcast(automaton)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scan = shared.value.scan
-            for batch in slices(batches):
-                counts, spans, items = [], [], []
-                for text in as_bytes(batch.column(1)):
-                    words = words_of(text)
-                    got, of = scan(words)
-                    counts.append(len(words))
-                    spans.append([{"start": a, "end": b} for a, b in got])
-                    items.append(sorted(map(str, of)))
-                yield pa.record_batch([batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(spans, out[0].type), pa.array(items, out[1].type)], names=[id_col, "text_key", "n_words", "spans", "items"])
-
-        keyed = source.withColumn("text_key", F.xxhash64("text"))
-        return keyed.mapInArrow(run, f"`{id_col}` {kind}, text_key long, n_words long, spans array<struct<start:int,end:int>>, items array<string>")
-
-    automata = list(_blocks(items, id_col=item_col, text_col=item_text, window=window, block_bytes=block_bytes))
-    first = matched(automata[0])
-    if len(automata) == 1:
-        return first
-    # More blocks: what each found beyond the first comes together by document.
-    key = [id_col, "text_key"]
-    more = None
-    for automaton in automata[1:]:
-        got = written(matched(automaton).where("size(spans) > 0").select(*key, "spans", "items").distinct(), "overlaps")
+    keys = [F.col(id_col), F.xxhash64(text_or_empty(text_col)).alias("text_key")]
+    first, more = None, None
+    for automata in _passes(items, item_col, item_text, window, block_bytes):
+        found = _scanned(docs, automata, text_col, keys)
+        if first is None:
+            first = found
+            continue
+        # more passes: what each finds beyond the first comes together by document
+        got = written(found.where("size(spans) > 0").select(id_col, "text_key", "spans", "items").distinct(), "overlaps")
         more = got if more is None else more.union(got)
-    more = more.groupBy(*key).agg(F.flatten(F.collect_list("spans")).alias("s"), F.flatten(F.collect_list("items")).alias("i"))
+    if more is None:
+        return first
+    more = more.groupBy(id_col, "text_key").agg(F.flatten(F.collect_list("spans")).alias("s"), F.flatten(F.collect_list("items")).alias("i"))
     more = more.select(F.col(id_col).alias("of"), F.col("text_key").alias("of_key"), "s", "i")
     both = first.join(more, F.col(id_col).eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_key")), "left")
-    spans = F.array_sort(F.concat("spans", F.coalesce("s", F.array().cast("array<struct<start:int,end:int>>"))))
-    joined = F.aggregate(
-        spans, F.array().cast("array<struct<start:int,end:int>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1).end >= x.start), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1).start.alias("start"), F.greatest(F.element_at(acc, -1).end, x.end).alias("end"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    return both.select(id_col, "text_key", "n_words", joined.alias("spans"), F.array_sort(F.array_distinct(F.concat("items", F.coalesce("i", F.array().cast("array<string>"))))).alias("items"))
+    spans = F.when(F.col("s").isNull(), F.col("spans")).otherwise(_joined(F.concat("spans", "s")))
+    names = F.when(F.col("i").isNull(), F.col("items")).otherwise(F.array_sort(F.array_distinct(F.concat("items", "i"))))
+    return both.select(id_col, "text_key", "n_words", spans.alias("spans"), names.alias("items"))
 
 
 def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -224,56 +276,42 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     A document of which more than max_coverage of the words are matched goes whole. Columns are those of docs; an n_chars
     column gets the code points of the new text. Null texts stay null. Rows whose text is not cut stay as they are. Every
-    block of items sees the whole text; the spans of all of them count and are cut together.
+    block of items sees the whole text; the spans of all of them count and are cut together. Texts with spans are
+    shuffled to meet them, the others pass by.
     """
-    spark = docs.sparkSession
-    automata = list(_blocks(items, item_col, item_text, window, block_bytes))
-    schema = docs.schema
-    place = schema.fieldNames().index(text_col)
-    count = schema.fieldNames().index("n_chars") if "n_chars" in schema.fieldNames() else None
-    spans_name = "spans"
-    while spans_name.lower() in map(str.lower, schema.fieldNames()):
-        spans_name += "_"
-    spans_type = pa.list_(pa.int32())  # starts and ends in turn
-    wide = StructType([*schema.fields, StructField(spans_name, ArrayType(IntegerType()))])
-    out = docs
-    for at, automaton in enumerate(automata):
-        shared = spark.sparkContext.broadcast(automaton)
-        first, last = at == 0, at == len(automata) - 1
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=first, last=last) -> Iterator[pa.RecordBatch]:
-            scan, size = shared.value.scan, shared.value.window
-            for batch in slices(batches, column=place):
-                before = [()] * batch.num_rows if first else batch.column(len(schema)).to_pylist()
-                own = batch if first else batch.select(range(len(schema)))
-                keep, texts, changed, merged = [], [], [], []
-                for raw, held in zip(own.column(place).cast(pa.binary()).to_pylist(), before, strict=True):
-                    words = words_of(raw or b"")
-                    spans = _merged([*zip(held[::2], held[1::2], strict=True), *scan(words)[0]])
-                    if not last:
-                        merged.append([x for span in spans for x in span])
-                        continue
-                    spans = [(a, b) for a, b in spans if b - a >= min(min_span, size) or b - a < size]
-                    keep.append(sum(b - a for a, b in spans) <= max_coverage * len(words))
-                    changed.append(bool(spans))
-                    texts.append(cut_spans(raw, spans) if spans else raw)
-                if not last:
-                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(merged, spans_type)], schema=own.schema.append(pa.field(spans_name, spans_type)))
-                    continue
-                columns = list(own.columns)
-                if any(changed):
-                    columns[place] = pa.array(texts, pa.binary()).cast(pa.string()).cast(own.schema.field(place).type)
-                    if count is not None:
-                        length = pc.utf8_length(columns[place]).cast(own.schema.field(count).type)
-                        columns[count] = pc.if_else(pa.array(changed), length, columns[count])
-                yield pa.RecordBatch.from_arrays(columns, schema=own.schema).filter(pa.array(keep, pa.bool_()))
-
-        out = out.mapInArrow(run, schema if last else wide)
-    return out
-
-
-def digest_of(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    key = F.xxhash64(text_or_empty(text_col))  # what is cut depends on the text alone
+    hits = None
+    for automata in _passes(items, item_col, item_text, window, block_bytes):
+        found = _scanned(docs, automata, text_col, [key.alias("_key")]).where("size(spans) > 0").drop("items")
+        got = written(found.distinct(), "spans")
+        hits = got if hits is None else hits.union(got)
+    spans = hits.groupBy("_key").agg(F.max("n_words").alias("words"), _joined(F.flatten(F.collect_list("spans"))).alias("spans"))
+    long = F.filter("spans", lambda x: (x.end - x.start >= min(min_span, window)) | (x.end - x.start < window))
+    hit = F.aggregate("spans", F.lit(0), lambda n, x: n + x.end - x.start)
+    of, cuts, keep = free(docs, "_key"), free(docs, "_spans"), free(docs, "_keep")
+    spans = spans.withColumn("spans", long).select(F.col("_key").alias(of), F.col("spans").alias(cuts), (hit <= max_coverage * F.col("words")).alias(keep))
+    spans = written(spans.where(F.size(cuts) > 0), "cuts")
+    some, rest = split_off(docs, key, spans.select(of))
+    met = some.join(spans.hint("merge"), key == F.col(of), "left").where(F.coalesce(keep, F.lit(True)))
+    schema, names = docs.schema, docs.schema.fieldNames()
+    place, count = names.index(text_col), names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, column=place):
+            own = batch.select(range(len(names)))
+            spans_of = batch.column(len(names)).to_pylist()
+            changed = [bool(x) for x in spans_of]
+            columns = list(own.columns)
+            if any(changed):
+                raw = own.column(place).cast(pa.binary()).to_pylist()
+                texts = [cut_spans(x, [(y["start"], y["end"]) for y in cut]) if cut else x for x, cut in zip(raw, spans_of, strict=True)]
+                columns[place] = pa.array(texts, pa.binary()).cast(pa.string()).cast(own.schema.field(place).type)
+                if count is not None:
+                    size = pc.utf8_length(columns[place]).cast(own.schema.field(count).type)
+                    columns[count] = pc.if_else(pa.array(changed), size, columns[count])
+            yield pa.RecordBatch.from_arrays(columns, schema=own.schema)
+
+    return met.select(*(F.col(f"`{c}`") for c in names), cuts).mapInArrow(run, schema).unionByName(rest)
 
 
 _WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

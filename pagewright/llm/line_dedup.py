@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_off, text_or_empty, written
+from .common import free, split_off, text_or_empty, written
 
 #: Sites from which on a line is boilerplate.
 MIN_SITES = 10
@@ -92,10 +92,11 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = written(removals(lines, spread), "gone")
     out = [c for c in docs.columns if c != "n_removed_lines"]
     some, rest = split_off(docs.select(*out), _row_key(id_col, text_col), gone.select("key"))
-    of = gone.select(F.col("key").alias("_gone_key"), F.col("gone").alias("_gone")).hint("merge")
-    both = some.join(of, _row_key(id_col, text_col) == F.col("_gone_key"), "left")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(_without(F.col(text_col), F.col("_gone")))
-    cut = both.withColumn(text_col, text).select(*out, F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed_lines"))
+    of_key, of_gone = free(docs, "_gone_key"), free(docs, "_gone")
+    of = gone.select(F.col("key").alias(of_key), F.col("gone").alias(of_gone)).hint("merge")
+    both = some.join(of, _row_key(id_col, text_col) == F.col(of_key), "left")
+    text = F.when(F.col(of_gone).isNull(), F.col(text_col)).otherwise(_without(F.col(text_col), F.col(of_gone)))
+    cut = both.withColumn(text_col, text).select(*out, F.coalesce(F.size(of_gone), F.lit(0)).alias("n_removed_lines"))
     return cut.unionByName(rest.select(*out, F.lit(0).alias("n_removed_lines")))
 
 

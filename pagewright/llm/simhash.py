@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, split_off, text_or_empty, written
+from .common import as_bytes, free, slices, split_off, text_or_empty, written
 from .components import connected_components
 
 RADIUS = 4
@@ -224,11 +224,12 @@ def keep_least(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) ->
     key = lambda id_, text_key: F.xxhash64(F.col(id_).isNull(), F.col(id_), text_key)
     text_key = F.xxhash64(text_or_empty(text_col))
     stays = F.col(id_col).eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("component_key"))
-    rows = written(found.select(key(id_col, F.col("text_key")).alias("_of"), stays.alias("stays")), "near")
-    gone = written(rows.where("not stays").select("_of").distinct(), "copies")
+    of = free(docs, "_of")
+    rows = written(found.select(key(id_col, F.col("text_key")).alias(of), stays.alias("stays")), "near")
+    gone = written(rows.where("not stays").select(of).distinct(), "copies")
     some, rest = split_off(docs, key(id_col, text_key), gone)
-    kept = some.join(gone.hint("merge"), key(id_col, text_key) == F.col("_of"), "left_anti").unionByName(rest)
-    twice = written(rows.where("stays").groupBy("_of").count().where("count > 1").select("_of"), "repeated")
+    kept = some.join(gone.hint("merge"), key(id_col, text_key) == F.col(of), "left_anti").unionByName(rest)
+    twice = written(rows.where("stays").groupBy(of).count().where("count > 1").select(of), "repeated")
     if twice.isEmpty():
         return kept
     some, rest = split_off(kept, key(id_col, text_key), twice)

@@ -63,7 +63,7 @@ def test_number_of_blocks_does_not_change_what_is_cut(spark):
     items = [(k, " ".join(w[20 * k : 20 * k + 30])) for k in range(12)] + [(20 + k, " ".join(w[20 * k + 15 : 20 * k + 27])) for k in range(12)]
     rows = [(k, " ".join(rest(20) + w[20 * k : 20 * k + 30] + rest(20) + w[300 - 20 * k : 330 - 20 * k] + rest(60 if k % 2 else 0)), "en", "s", 1) for k in range(12)]
     rows += [(100 + k, " ".join(rest(40) + w[20 * k + 12 : 20 * k + 44] + rest(40)), "en", "s", 1) for k in range(12)] + [(None, None, "en", "s", 1), (200, "", None, "s", 1)]
-    table, df = spark.createDataFrame(items, "item_id long, text string"), frame(spark, rows, clash=("spans", "Spans_"))
+    table, df = spark.createDataFrame(items, "item_id long, text string"), frame(spark, rows, clash=("spans", "_Spans", "_key", "_word", "_bits", "_keep"))
     one, many = (Counter(d.decontaminate(df, table, block_bytes=n).collect()) for n in (10**6, 300))
     assert one == many and 0 < sum(one.values()) < len(rows)
 

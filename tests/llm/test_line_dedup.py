@@ -47,7 +47,7 @@ def rows_with_lines(seed=8):
 @pytest.mark.parametrize("min_sites", [3, 10])
 def test_against_brute_force(spark, min_sites):
     rows = rows_with_lines()
-    got = d.drop_lines(frame(spark, rows, clash=("hash", "pos", "key", "first", "sites")), min_sites=min_sites)
+    got = d.drop_lines(frame(spark, rows, clash=("hash", "pos", "key", "first", "sites", "_gone", "_gone_key", "_word")), min_sites=min_sites)
     assert got.columns[-1] == "n_removed_lines" and "sites" in got.columns
     assert Counter((r.doc_id, r.text, r.n_removed_lines) for r in got.collect()) == brute(rows, min_sites)
 
