@@ -26,21 +26,27 @@ from .ranks import ranked
 LENGTH = 1024
 END = 0
 VOCABULARY = "byte_bpe_50k.json"
-#: Parts of texts whose ids a worker keeps (twice as many at most, some 120 MB), and characters of a part that is kept.
-KNOWN, KNOWN_CHARS = 300_000, 48
-#: Characters of a text that are cut in parts at a time.
-STRETCH = 1 << 20
+#: Characters that are encoded at a time, at least, and of a run without a blank or of blanks that is left to tokenizers.
+STRETCH, RUN = 1 << 17, 1000
 
 #: Fixed value: how the JSON form says that bytes are merged within words, each with one blank before it.
 _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
 
+def _characters() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable Latin-1 is itself, others follow from 256."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {**{chr(b): b for b in own}, **{chr(256 + k): b for k, b in enumerate(rest)}}
+
+
 class Encoder:
-    """Ids by tokenizers. Texts are cut before words, where no id can span; the ids of frequent parts are kept.
+    """The ids of tokenizers for a JSON vocabulary.
 
-    Words are made of what follows one blank, so a text falls apart before each blank with a solid character behind it:
-    blanks before that blank are one run, with or without what follows. A part that an added token might begin is not
-    cut off. Vocabularies with other rules get the whole text.
+    A long text is encoded in stretches, cut before words: words are made of what follows one blank, so a text falls
+    apart before each blank with a solid character behind it that begins no added token. Where the JSON form holds plain
+    byte-level merges in order of their ids, a faster engine with the same merges and added tokens encodes the
+    stretches; those with very long runs, and all of other vocabularies, are encoded by tokenizers itself.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,52 +55,49 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         self.tokenizer = Tokenizer.from_file(path)
         rules = json.loads(self.tokenizer.to_str())
-        added = rules["added_tokens"]
+        added, model = rules["added_tokens"], rules["model"]
         level = {k: v for k, v in (rules["pre_tokenizer"] or {}).items() if k in _BYTE_LEVEL}
-        plain = level == _BYTE_LEVEL and rules["normalizer"] is None and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or " " in x["content"] for x in added)
+        plain = level == _BYTE_LEVEL and rules["normalizer"] is None and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] and rules["normalizer"] or " " in x["content"] for x in added)
         heads = "".join(sorted({re.escape(x["content"][0]) for x in added}))
         self.cut = re.compile(rf" (?=[^\s{heads}])") if plain else None
-        self.known: dict[str, bytes] = {}  # what was met lately,
-        self.before: dict[str, bytes] = {}  # and what was known when that last grew too large
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _stretch(self, text: str, inside: bool) -> list[bytes]:
-        """The ids of a stretch that begins before a word; inside: its first blank is left out."""
-        head, *parts = self.cut.split(text)
-        if inside:
-            parts.insert(0, head)
-        out = list(map(self.known.get, parts))
-        lack = {x for x, found in zip(parts, out, strict=True) if found is None}
-        if lack:
-            new = {x: self.before[x] for x in lack if x in self.before}
-            rest = [x for x in lack if x not in new]
-            new.update(zip(rest, self._encoded([" " + x for x in rest]), strict=True))
-            out = [new[x] if found is None else found for x, found in zip(parts, out, strict=True)]
-            if len(self.known) + len(new) > KNOWN:
-                self.known, self.before = {}, self.known
-            self.known.update((k, v) for k, v in new.items() if len(k) <= KNOWN_CHARS)
-        return out if inside else [*self._encoded([head]), *out]
+        self.fast = self._faster(model, added) if plain and model["type"] == "BPE" else None
+
+    @staticmethod
+    def _faster(model: dict, added: list[dict]):
+        import public_tokenizers
+        import tiktoken
+
+        byte = _characters()
+        special = {x["content"]: x["id"] for x in added}
+        merges = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
+        made = [model["vocab"][a + b] for a, b in merges]
+        others = {k: model[k] for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix") if model.get(k)}
+        if others or model.get("ignore_merges") or made != sorted(made):
+            return None
+        ranks = {bytes(byte[c] for c in token): k for token, k in model["vocab"].items() if token not in special}
+        return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def _encoded(self, text: str) -> np.ndarray:
+        if self.fast is None or len(text) >= RUN and (" " * RUN in text or max(map(len, text.split(" "))) >= RUN):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return self.fast.encode_to_numpy(text, allowed_special="all", disallowed_special=())
 
     def ids(self, text: str) -> np.ndarray:
         """Little-endian unsigned 32-bit ids."""
-        if self.cut is None:
-            return np.frombuffer(b"".join(self._encoded([text])), "<u4")
-        out, at, inside = [], 0, False
+        out, at = [], 0
         while at < len(text):
-            found = self.cut.search(text, at + STRETCH) if len(text) - at > STRETCH else None
+            found = self.cut.search(text, at + STRETCH) if self.cut and len(text) - at > STRETCH else None
             end = found.start() if found else len(text)
-            out += self._stretch(text[at:end], inside)
-            at, inside = end + 1, True
-        return np.frombuffer(b"".join(out), "<u4")
+            out.append(self._encoded(text[at:end]))
+            at = end
+        return np.concatenate(out).astype("<u4") if out else np.empty(0, "<u4")
 
 
 _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str | None = None) -> Encoder:
-    """The encoder of a JSON vocabulary file, by default the public 50k byte-level BPE; loaded once in a process."""
+    """The encoder of a JSON vocabulary file, by default the public 50k byte-level BPE; made once in a process."""
     if path is None:
         import public_tokenizers
 
