@@ -52,6 +52,46 @@ def test_features_do_not_depend_on_the_batch():
         np.testing.assert_allclose(own[2], x[text == k])
 
 
+def test_long_chains_are_folded_as_short_ones(monkeypatch):
+    rng = np.random.default_rng(4)
+    count = np.array([3, 1500, 0, 2048, 1, 1025])
+    score, moves = rng.normal(scale=3, size=count.sum()), rng.normal(size=(2, 2))
+    folded = c.chains(score, count, moves)
+    monkeypatch.setattr(c, "LONG", 10**9)
+    for a, b in zip(folded, c.chains(score, count, moves)):
+        np.testing.assert_allclose(a, b, atol=1e-9)
+
+
+def test_scores_of_parts_are_those_of_whole_features(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    texts = [r[1] or "" for r in documents()][:60] + ["", "\n" * 50, "a a a\na a\n\na b a b\n" * 9, "", "x" * 900, "One. Two!\n" * 7]
+    data, offsets = c.buffers(pa.array(texts))
+    weights = rng.normal(size=c.WIDTH)
+    text, weight, x = c.features(data, offsets)
+    for lines, size in ((1 << 15, 1 << 19), (7, 10**6), (10**6, 40), (1, 1)):
+        monkeypatch.setattr(c, "PART_LINES", lines)
+        monkeypatch.setattr(c, "PART_BYTES", size)
+        got = c.line_scores(data, offsets, weights)
+        np.testing.assert_array_equal(got[0], text)
+        np.testing.assert_array_equal(got[1], weight)
+        np.testing.assert_allclose(got[2], x @ weights, atol=1e-9)
+        of, _, some = c.features(data, offsets, 5)
+        assert np.bincount(of).max() == 5
+        for k in range(len(texts)):
+            own, part = x[text == k], some[of == k]
+            assert len(part) == min(5, len(own)) and any(np.allclose(own[i : i + len(part)], part) for i in range(len(own) - len(part) + 1))
+
+
+def test_texts_of_megabytes(spark):
+    rows = [(1, "\n" * 3_000_000, "en", "s", 1), (2, "word " * 500_000, "en", "s", 1), (3, "A line that ends well.\n" * 150_000, "en", "s", 1)]
+    rng = np.random.default_rng(6)
+    field = c.Field(rng.normal(size=c.WIDTH), rng.normal(size=(2, 2)))
+    got = {r.doc_id: r for r in c.score(frame(spark, rows), field).collect()}
+    assert got[1].score == 0 and got[1].lines == 3_000_001 and got[2].lines == 1 and all(0 <= r.score <= 1 for r in got.values())
+
+
 def test_held_out_accuracy(spark, tmp_path):
     docs, labels = corpus()
     frame(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
