@@ -32,15 +32,23 @@ UNKNOWN = "und"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Characters of a text, and symbols of texts, that are worked on at a time.
+STRETCH = 1 << 18
+
+
 def symbols(text: str) -> np.ndarray:
-    """Code points, folded to 16 bits, of the lower-case text: letters as they are, any run of others as one space."""
-    if not text:
-        return np.empty(0, np.uint64)
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _letters()[np.minimum(points, 0x10FFFF)]
-    kept = np.where(letter, (points & 0xFFFF) ^ (points >> 16), 32).astype(np.uint64)
-    before = np.concatenate([[False], letter[:-1]])
-    return kept[letter | before]
+    """Code points, folded to 16 bits, of the lower-case text: letters as they are, any run of others as one space.
+
+    A text that begins with others begins with no space.
+    """
+    text, out, before = text.lower(), [], False
+    for at in range(0, len(text), STRETCH):
+        points = np.frombuffer(text[at : at + STRETCH].encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = _letters()[np.minimum(points, 0x10FFFF)]
+        kept = np.where(letter, (points & 0xFFFF) ^ (points >> 16), 32).astype(np.uint16)
+        out.append(kept[letter | np.concatenate([[before], letter[:-1]])])
+        before = bool(letter[-1])
+    return np.concatenate(out).astype(np.uint16) if out else np.empty(0, np.uint16)
 
 
 _table: list[np.ndarray] = []
@@ -54,6 +62,7 @@ def _letters() -> np.ndarray:
 
 def grams(marks: np.ndarray, order: int) -> np.ndarray:
     """The n-gram that ends at each symbol, packed in 16 bits each; spaces stand before the text."""
+    marks = marks.astype(np.uint64)
     out = marks.copy()
     for k in range(1, order):
         out[k:] |= marks[:-k] << np.uint64(16 * k)
@@ -128,16 +137,33 @@ class Model:
         return np.where(row[:, None] < 0, 1, weight) * lower
 
     def entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(cross-entropy in nats for a symbol [text, language], letters of each text)."""
-        marks = [symbols(x) for x in texts]
-        sizes = np.array([len(x) for x in marks])
-        letters = np.array([int((x != 32).sum()) for x in marks], np.int64)
-        out = np.zeros((len(texts), len(self.languages)))
-        full = np.flatnonzero(sizes)
-        if len(full):
-            logs = np.log(self.probabilities(np.concatenate([grams(marks[k], self.order) for k in full])))
-            out[full] = -np.add.reduceat(logs, np.concatenate([[0], np.cumsum(sizes[full])[:-1]]), axis=0, dtype=np.float64) / sizes[full, None]
-        return out, letters
+        """(cross-entropy in nats for a symbol [text, language], letters of each text), a stretch at a time."""
+        out, sizes, letters = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        keys: list[np.ndarray] = []
+        of: list[int] = []
+        held = 0
+
+        def add() -> None:
+            logs = np.log(self.probabilities(np.concatenate(keys)))
+            starts = np.cumsum([0, *(len(x) for x in keys[:-1])])
+            np.add.at(out, of, -np.add.reduceat(logs, starts, axis=0, dtype=np.float64))
+
+        for k, text in enumerate(texts):
+            marks = symbols(text)
+            sizes[k], letters[k] = len(marks), np.count_nonzero(marks != 32)
+            for at in range(0, len(marks), STRETCH):
+                back = min(at, self.order - 1)  # symbols before the stretch that its first n-grams hold
+                keys.append(grams(marks[at - back : at + STRETCH], self.order)[back:])
+                of.append(k)
+                held += len(keys[-1])
+                if held >= STRETCH:
+                    add()
+                    keys.clear()
+                    of.clear()
+                    held = 0
+        if keys:
+            add()
+        return out / np.maximum(sizes, 1)[:, None], letters
 
 
 def estimate(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER, discount: float = DISCOUNT) -> Model:
@@ -245,7 +271,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     A null text and one without a letter are `und` with score 0. score is the winner's posterior for the text's first
     hundred symbols' worth of evidence, equal priors. rejected: harder than the calibration allows, or no language
-    known (then `und`). Other columns of docs are not read.
+    known (then `und`). Languages that a text is equally near to are taken in order of name. Equal texts are treated
+    alike. Other columns of docs are not read.
     """
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)

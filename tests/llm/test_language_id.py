@@ -82,6 +82,26 @@ def test_hard_rows_rejection_and_empty_tables(spark):
     assert l.identify(spark.createDataFrame([], SCHEMA), model).collect() == []
 
 
+def test_stretches_do_not_change_a_text(spark, monkeypatch):
+    rows = corpus(90)
+    model = l.learn(frame(spark, rows))
+    texts = [r[1] for r in rows[:20]] + ["", "12", "  a b", "x1" * 50, " ".join(r[1] for r in rows)]
+    whole, marks = model.entropy(texts), [l.symbols(t) for t in texts]
+    for n in (1, 5, 64):
+        monkeypatch.setattr(l, "STRETCH", n)
+        got = model.entropy(texts)
+        np.testing.assert_allclose(got[0], whole[0], rtol=1e-6)
+        np.testing.assert_array_equal(got[1], whole[1])
+        assert all((l.symbols(t) == m).all() for t, m in zip(texts, marks))
+
+
+def test_texts_of_megabytes(spark):
+    model = l.learn(frame(spark, corpus()))
+    rows = [(1, "the and ing " * 300_000, "en", "s", 1), (2, "\n" * 4_000_000, "en", "s", 1), (3, "eauque " * 400_000, "en", "s", 1)]
+    got = {r.doc_id: r.lang_pred for r in l.identify(frame(spark, rows), model).collect()}
+    assert got == {1: "en", 2: "und", 3: "fr"}
+
+
 def test_only_the_rows_asked_for_teach(spark):
     model = l.learn(frame(spark, corpus()), use=F.col("lang") != "de")
     assert model.languages == ["en", "fr"]
