@@ -38,13 +38,39 @@ def events_of(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     return rows.select(F.col(conv).alias("conv"), sequence.alias("seq"), F.lit(None).cast("string").alias("message"), F.lit("message").alias("kind"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
 
 
+def log_of(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """A table of whole turns as the log that a chat service would have kept of them; fold gives the turns back.
+
+    Every row is a message with a sequence of events. Texts of assistants come as a draft that is given up, then
+    regenerated in streamed deltas; other texts come as a first version in two parts, then an edit and a delta. Beside
+    each turn stands a message that is deleted again. Rows equal in all columns are messages of their own.
+    """
+    body, at = F.coalesce(F.col(text).cast("string"), F.lit("")), F.col(turn).cast("long")
+    of = F.monotonically_increasing_id().cast("string")
+    rows = rows.select(F.col(conv).alias("conv"), at.alias("at"), F.col(role).cast("string").alias("role"), body.alias("text"), of.alias("of"))
+    third = F.floor(F.length("text") / 3).cast("int")
+    part = lambda k: F.substr("text", 1 + k * third, third if k < 2 else F.length("text"))
+    own = F.concat(F.lit("m"), "of")
+    step = lambda k, kind, t, message=own, role=None: F.struct(F.lit(k).alias("step"), message.alias("message"), F.lit(kind).alias("kind"), (F.lit(None).cast("string") if role is None else role).alias("role"), t.alias("text"))
+    spoken = F.array(
+        step(0, "message", F.reverse(part(0)), role=F.col("role")), step(1, "delta", F.lit("<|draft|>")),
+        step(2, "regenerate", part(0)), step(3, "delta", part(1)), step(4, "delta", part(2)),
+    )
+    typed = F.array(step(0, "message", part(1), role=F.col("role")), step(1, "delta", part(0)), step(2, "edit", F.concat(part(0), part(1))), step(3, "delta", part(2)))
+    other = F.concat(F.lit("x"), "of")
+    gone = F.array(step(5, "message", F.lit("never mind"), other, F.lit("user")), step(6, "delta", part(0), other), step(7, "delete", F.lit(None).cast("string"), other))
+    log = rows.select("conv", "at", F.explode(F.concat(F.when(F.col("role") == "assistant", spoken).otherwise(typed), gone)).alias("e"))
+    return log.select("conv", F.struct("at", F.col("e.step").alias("step")).alias("seq"), "e.message", "e.kind", "e.role", "e.text")
+
+
 def fold(events: DataFrame) -> DataFrame:
     """(conv, seq, role, text): the messages that the events leave.
 
     events: conv, seq (any sortable type), message, kind, role, text. A null message makes the event a message of its
     own. The text starts anew at the last `message`, `edit` or `regenerate`, deltas after it follow; null texts are
     empty; the role is the first event's that has one, else empty. An unknown or null kind is a delta. A message whose
-    last `delete` comes after its last such start is left out.
+    last `delete` comes after its last such start is left out. Events of one sequence number are taken in order of kind,
+    role and text; repeated events count as often as they come.
     """
     event = F.struct("seq", F.coalesce("kind", F.lit("delta")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     alone = events.where("message is null").select("conv", F.array(event).alias("log"))

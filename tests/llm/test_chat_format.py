@@ -57,6 +57,62 @@ def test_events_fold(spark):
     assert [got[1].formatted[s.start : s.start + s.length] for s in got[1].loss_spans] == ["Good day", ""]
 
 
+def plain_fold(log):
+    """Messages (conv, role, text) in order of first event, by a loop over sorted events."""
+    held, alone = defaultdict(list), []
+    for conv, seq, message, kind, role, text in log:
+        event = (seq, kind or "delta", role or "", text or "")
+        if message is None:
+            alone.append((conv, [event]))
+        else:
+            held[conv, message].append(event)
+    out = defaultdict(list)
+    for conv, events in [*alone, *((k[0], v) for k, v in held.items())]:
+        events.sort()
+        text, there = "", True
+        for _, kind, _, part in events:
+            if kind in ("message", "edit", "regenerate"):
+                text, there = part, True
+            elif kind == "delete":
+                text, there = "", False
+            elif there:
+                text += part
+        if there:
+            role = next((r for _, _, r, _ in events if r), "")
+            out[conv].append((events[0][0], role, text))
+    return {conv: [(r, t) for _, r, t in sorted(x)] for conv, x in out.items()}
+
+
+def test_fold_against_a_plain_version(spark):
+    rng = random.Random(13)
+    kinds = ["message", "edit", "regenerate", "delta", "delta", "delta", "delete", "odd", None]
+    log = [(rng.choice([1, 2, 3, None]), rng.randint(1, 12), rng.choice(["a", "b", "c", "d", None]), rng.choice(kinds), rng.choice(["user", "assistant", "", None]), rng.choice([*TRICKY, None])) for _ in range(400)]
+    log += log[:40]
+    events = spark.createDataFrame(log, "conv long, seq long, message string, kind string, role string, text string")
+    got = {r.conv: [tuple(t) for t in r.turns] for r in c.format_chats(events.repartition(5)).withColumn("turns", c.parse(F.col("formatted"))).collect()}
+    assert got == plain_fold(log)
+
+
+def test_log_holds_every_kind_of_event_and_folds_back(spark):
+    table = rows()
+    log = c.log_of(spark.createDataFrame(table, "conv_id long, turn long, role string, text string"))
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"message", "edit", "regenerate", "delta", "delete"}
+    got = defaultdict(list)
+    for r in c.fold(log.repartition(7)).collect():
+        got[r.conv].append((r.seq.at if r.seq.at is not None else -1, r.role, r.text))
+    want = defaultdict(list)
+    for conv, turn, role, text in table:
+        want[conv].append((turn if turn is not None else -1, role or "", text or ""))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_a_long_text(spark):
+    table = [(1, 0, "user", "<|" * 400_000), (1, 1, "assistant", "\n" * 1_000_000)]
+    rows = c.log_of(spark.createDataFrame(table, "conv_id long, turn long, role string, text string"))
+    got = c.format_chats(rows).select(c.parse(F.col("formatted")).alias("t"), c.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert [x.text for x in got.t] == [x[3] for x in table] and got.loss == table[1][3]
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert c.format_chats(c.events_of(none)).collect() == []
