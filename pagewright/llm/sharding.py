@@ -1,8 +1,9 @@
 """Sharding by a k-d tree over metadata: weighted medians, found in the distribution, along the widest dimension.
 
 Only counts by node and bin reach the driver. A node's median is narrowed down bin by bin on a sort key that starts
-with the dimension's value and goes on with the text's checksum and the id, so that equal values have an order of
-their own and equal texts stay side by side.
+with the dimension's value and goes on with the text's checksum and the id. The dimensions are read off the text, so
+that equal texts are one point: a cut falls between points, and through one only where a group of equal texts is too
+heavy to stay whole.
 """
 
 from __future__ import annotations
@@ -20,8 +21,12 @@ from .ranks import ranked
 BINS = 4096
 #: A median is near enough when the bin that holds it has this share of the node's bytes at most.
 CLOSE = 5e-4
-#: Bits of a sort key: the value's bin along its dimension, the text's checksum, a hash of the id.
-VALUE_BITS, TEXT_BITS, ID_BITS = 16, 24, 22
+#: Bits of a sort key: the value's bin along its dimension, the text's checksum, a hash of the id. Rounds of narrowing
+#: by the default bins end on each border.
+VALUE_BITS, TEXT_BITS, ID_BITS = 16, 20, 24
+#: A group of equal texts with a greater share of a node's bytes may be cut, by id.
+SPLIT = 5e-3
+DIMENSIONS = ("log_size", "log_lines", "width")
 
 
 @dataclass
@@ -33,17 +38,16 @@ class Node:
 
 
 def metadata(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id, size (bytes and 1 for the end), checksum and the default dimensions of each document."""
+    """Id, size (bytes and 1 for the end), checksum and the default dimensions of each document: bytes, lines, bytes of a character."""
     text = text_or_empty(text_col)
-    names = set(docs.columns)
-    kind = lambda c: F.col(c).cast("string") if c in names else F.lit(None).cast("string")
+    size = F.octet_length(text)
     return docs.select(
         F.col(id_col),
-        (F.octet_length(text) + 1).cast("long").alias("size"),
+        (size + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.log2(F.octet_length(text) + 1.0).alias("log_size"),
-        F.pmod(F.xxhash64(F.coalesce(kind("lang"), F.lit(""))), F.lit(1 << 20)).cast("double").alias("lang_point"),
-        F.pmod(F.xxhash64(F.coalesce(kind("source"), F.lit(""))), F.lit(1 << 20)).cast("double").alias("source_point"),
+        F.log2(size + 1.0).alias("log_size"),
+        F.log2(size - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1.0).alias("log_lines"),
+        ((size + 1.0) / (F.length(text) + 1.0)).alias("width"),
     )
 
 
@@ -92,7 +96,8 @@ def kd_shards(meta: DataFrame, dimensions: list[str], shards: int, id_col: str =
 
 
 def _cuts(keyed: DataFrame, nodes: dict[int, Node], goal: dict[int, float], total: dict[int, int], weight: str, bins: int, close: float) -> None:
-    """Sets each node's cut: the weight of keys below it is the goal, within `close` of the node's weight or one key."""
+    """Sets each node's cut: the weight of keys below it is the goal, within `close` of the node's weight, SPLIT of it
+    where that keeps equal texts together, or one key."""
     window = {k: (0, 1 << (VALUE_BITS + TEXT_BITS + ID_BITS), 0) for k in nodes}  # first key, keys, weight before
     while window:
         bin_of = F.lit(None).cast("long")
@@ -108,7 +113,8 @@ def _cuts(keyed: DataFrame, nodes: dict[int, Node], goal: dict[int, float], tota
             step = max(1, n // bins)
             for b, w in sorted(found.get(k, [])):
                 if before + w >= goal[k]:
-                    if step > 1 and w > close * total[k]:
+                    # a bin as wide as a point holds equal texts: it is cut only if it is heavy
+                    if step > 1 and w > (max(close, SPLIT) if step == 1 << ID_BITS else close) * total[k]:
                         window[k] = (first + b * step, step, before)
                     else:
                         nearer = before + w - goal[k] < goal[k] - before
@@ -119,11 +125,13 @@ def _cuts(keyed: DataFrame, nodes: dict[int, Node], goal: dict[int, float], tota
                 nodes[k].cut = first + n
 
 
-def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, target_bytes: int | None = None, dimensions: tuple[str, ...] = ("log_size", "lang_point", "source_point")) -> DataFrame:
+def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, target_bytes: int | None = None, dimensions: tuple[str, ...] = DIMENSIONS) -> DataFrame:
     """(id_col, size, text_crc32, shard, slot): `shards` leaves, or as many as keep to target_bytes.
 
-    slot runs from 0 without gaps in each shard. Null and empty texts have size 1. Repeated rows have slots of their
-    own. Rows without an id are placed like others. An empty table gives no rows.
+    slot runs from 0 without gaps in each shard. Null and empty texts have size 1 and are equal texts. Equal texts lie in
+    one shard, but for groups with more than SPLIT of a node's bytes, which may be cut. Repeated rows have slots of their
+    own, in order of id and checksum; which of two equal rows comes first is open. Rows without an id are placed like
+    others. An empty table gives no rows.
     """
     meta = written(metadata(docs, id_col, text_col), "metadata")
     seen = meta.agg(F.count("*").alias("n"), F.sum("size").alias("w")).first()
