@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import fold, fold_word
 from .ranks import numbered
 
 
@@ -26,7 +27,8 @@ def upsert(docs: DataFrame, seen: DataFrame) -> DataFrame:
 def reconcile(listing: DataFrame, docs: DataFrame, exts: list[str] | None = None) -> DataFrame:
     """(path, id, action, old_path): new, updated, unchanged, moved and removed files.
 
-    A new path with the inode, size and mtime of a document whose path is gone is that document, moved; of several such
+    A new path with the inode, size and mtime of a document whose path is gone is that document, moved (without an inode,
+    null or 0, none is); of several such
     documents the one with the least id is taken, by the first path in order. Only documents with one of exts can be
     removed. Both tables: path, inode, size, mtime; docs has id and ext.
     """
@@ -37,7 +39,7 @@ def reconcile(listing: DataFrame, docs: DataFrame, exts: list[str] | None = None
     key = lambda c: Window.partitionBy(*c)
     gone = both.where("lp is null").select("id", "path", "inode", "size", "mtime", "ext").withColumn("k", F.row_number().over(key(["inode", "size", "mtime"]).orderBy("id")))
     fresh = both.where("path is null").select("lp", "li", "ls", "lm").withColumn("lk", F.row_number().over(key(["li", "ls", "lm"]).orderBy("lp")))
-    met = fresh.join(gone, (F.col("li") == F.col("inode")) & (F.col("ls") == F.col("size")) & (F.col("lm") == F.col("mtime")) & (F.col("lk") == F.col("k")), "full_outer")
+    met = fresh.join(gone, (F.nullif("li", F.lit(0)) == F.col("inode")) & (F.col("ls") == F.col("size")) & (F.col("lm") == F.col("mtime")) & (F.col("lk") == F.col("k")), "full_outer")
     action = F.when(F.col("lp").isNotNull() & F.col("id").isNotNull(), "moved").when(F.col("lp").isNotNull(), "new").otherwise("removed")
     rest = met.select(F.coalesce("lp", "path").alias("path"), "id", action.alias("action"), F.when(F.col("lp").isNotNull(), F.col("path")).alias("old_path"), "ext")
     if exts is not None:
@@ -133,12 +135,12 @@ def rounded_layout(lines: Column) -> Column:
 def ignored(path: Column, is_dir: Column, rules: list[str]) -> Column:
     """A path is ignored by a rule: `name/` a folder of that name, `/a/b` that subtree, else a glob for any part.
 
-    Letters' case doesn't count.
+    Letters' case and accents don't count.
     """
     out = F.lit(False)
-    lower = F.lower(path)
+    lower = fold(path)
     for rule in rules:
-        rule = rule.lower()
+        rule = fold_word(rule)
         if rule.startswith("/"):
             own = rule.strip("/")
             out = out | (lower == own) | F.startswith(lower, F.lit(own + "/"))

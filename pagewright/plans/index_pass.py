@@ -7,29 +7,27 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import extension
-from ..operators.index import Index, build
-from ..operators.ingest import purge, reconcile, replace_pages
+from ..functions.language import backfilled
+from ..functions.text import document_date, extension
+from ..operators.index import DOCS, Index, apply_changes, build
+from ..operators.ingest import reconcile
 from ..operators.ranks import numbered
 from ..sources.extract import extract
 from ..storage import shared_dir
 
-DOCS = (
-    "id long, rel_path string, ext string, top_folder string, size long, mtime double, n_pages int, state int, lang string, err string, doc_date double, "
-    "indexed_at double, inode long"
-)
-
-
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(path, inode, size, mtime, file) of the files under a root; paths are relative to it. Stores without inodes give 0."""
+    """(path, inode, size, mtime, file) of the files under a root; paths are relative to it. Stores tell
+    no inodes: they are null, and a moved file is a removed and a new one."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
     base = F.regexp_replace(F.col("path"), r"^[a-z]+:/+", "/")
     own = root.split(":", 1)[-1].rstrip("/")
-    return files.select(F.substr(base, F.lit(len(own) + 2)).alias("path"), F.lit(0).cast("long").alias("inode"), F.col("length").alias("size"), F.col("modificationTime").cast("double").alias("mtime"), F.col("path").alias("file"))
+    return files.select(F.substr(base, F.lit(len(own) + 2)).alias("path"), F.lit(None).cast("long").alias("inode"), F.col("length").alias("size"), F.col("modificationTime").cast("double").alias("mtime"), F.col("path").alias("file"))
 
 
 def run(spark: SparkSession, root: str, folder: str, known: Index | None = None, now: float = 0.0) -> tuple[Index, dict[str, int]]:
-    """(the new index, numbers of files by what happened to them). Unchanged documents keep their pages unread."""
+    """(the new index, numbers of files by what happened to them). Unchanged documents keep their pages unread, and the
+    index takes the changes as a segment. Documents get a language by their text and a date by their title or path, if
+    these tell one."""
     seen = listing(spark, root)
     docs = known.docs.select(*[c.split()[0] for c in DOCS.split(", ")]) if known else spark.createDataFrame([], DOCS)
     todo = reconcile(seen, docs.select("id", F.col("rel_path").alias("path"), "inode", "size", "mtime", "ext"))
@@ -45,18 +43,21 @@ def run(spark: SparkSession, root: str, folder: str, known: Index | None = None,
     extract(content.join(files.select("file"), F.col("f") == F.col("file"), "left_semi").select(F.col("f").alias("path"), "content")).write.parquet(f"{held}/read")
     read = spark.read.parquet(f"{held}/read").join(files.select("file", F.col("id").alias("doc_id")), F.col("path") == F.col("file"))
     fresh = read.where("page > 0").select("doc_id", "page", "body")
-    per = read.groupBy("doc_id").agg(F.max("page").alias("n_pages"), F.first("status").alias("status"))
+    per = read.groupBy("doc_id").agg(F.max("page").alias("n_pages"), F.first("status").alias("status"), F.first("title").alias("title"))
     met = files.join(per, F.col("id") == F.col("doc_id"), "left")
     status = F.coalesce("status", F.lit("failed: empty"))
     state = F.when(F.startswith(status, F.lit("failed")), 2).when(F.startswith(status, F.lit("skipped")), 3).otherwise(1)
+    named = F.regexp_extract("rel_path", r"(?<![0-9])((?:19|20)[0-9]{2}-[0-9]{2}(?:-[0-9]{2})?)(?![0-9])", 1)
+    dated = F.coalesce(document_date(F.col("title")), document_date(named)).cast("double")
     rows = met.select(
         "id", "rel_path", extension(F.col("rel_path")).alias("ext"), F.split("rel_path", "/")[0].alias("top_folder"), "size", "mtime", F.coalesce("n_pages", F.lit(0)).alias("n_pages"),
-        state.alias("state"), F.lit(None).cast("string").alias("lang"), F.when(state > 1, status).alias("err"), F.lit(None).cast("double").alias("doc_date"), F.lit(now).alias("indexed_at"), F.lit(0).cast("long").alias("inode"),
+        state.alias("state"), F.lit(None).cast("string").alias("lang"), F.when(state > 1, status).alias("err"), dated.alias("doc_date"), F.lit(now).alias("indexed_at"), F.lit(None).cast("long").alias("inode"),
     )
-    gone = todo.where("action in ('removed', 'updated')").select("id")
+    rows = backfilled(rows, fresh)
+    none = spark.createDataFrame([], "doc_id long, page int, src int, conf double")
+    if known is None:
+        return build(spark, folder, rows, fresh, none), counts
     moved = todo.where("action = 'moved'").select(F.col("id").alias("_m"), F.col("path").alias("_p"))
-    kept = purge(docs, gone, "id").join(moved, F.col("id") == F.col("_m"), "left").withColumn("rel_path", F.coalesce("_p", "rel_path")).drop("_m", "_p")
-    empty = spark.createDataFrame([], "doc_id long, page int, body string")
-    pages = replace_pages(purge(known.pages if known else empty, gone), fresh)
-    src = known.page_src if known else spark.createDataFrame([], "doc_id long, page int, src int, conf double")
-    return build(spark, folder, kept.unionByName(rows), pages, purge(src, gone)), counts
+    there = docs.join(moved, F.col("id") == F.col("_m")).withColumn("rel_path", F.col("_p")).drop("_m", "_p")
+    same = lambda table: table.join(moved, F.col("doc_id") == F.col("_m"), "left_semi")
+    return apply_changes(spark, folder, rows.unionByName(there), fresh.unionByName(same(known.pages)), same(known.page_src), todo.where("action = 'removed'").select("id")), counts

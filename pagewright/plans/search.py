@@ -19,12 +19,13 @@ from ..operators.match import AllOf, AnyOf, Matcher, Near, Phrase
 from . import parser
 from .parser import ParsedQuery
 
+#: What a flag adds to a page's score, and the numbers that bound the layers.
 PHRASE, NEAR, NAME, TYPED = 0.8, 0.4, 0.3, 0.5
 NEAR_WINDOW = 12
 DIVERSE_AFTER, DIVERSE_FACTOR = 3, 0.5
 TOC_ROWS = 50
 THRESHOLD = 50_000
-FUZZY_BELOW, FUZZY_CAP, FUZZY_MIN, FUZZY_CANDIDATES = 20, 12, 6, 4000
+FUZZY_BELOW, FUZZY_CAP, FUZZY_MIN = 20, 12, 6
 ORDER = ("r", "fz", "doc_id", "page")
 
 
@@ -159,10 +160,20 @@ def diverse(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_k", place).withColumn("r", F.when(F.col("_k") > DIVERSE_AFTER, F.col("r") * DIVERSE_FACTOR).otherwise(F.col("r"))).drop("_k")
 
 
-def top(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+def top(rows: DataFrame, limit: int, offset: int = 0, order: tuple = ORDER) -> DataFrame:
     """The page of results, with its rank from 1. limit and offset bound what the window sees."""
-    cut = rows.orderBy(*ORDER).offset(offset).limit(limit) if offset else rows.orderBy(*ORDER).limit(limit)
-    return cut.withColumn("rank", F.row_number().over(Window.orderBy(*ORDER)) + offset)
+    cut = rows.orderBy(*order).offset(offset).limit(limit) if offset else rows.orderBy(*order).limit(limit)
+    return cut.withColumn("rank", F.row_number().over(Window.orderBy(*order)) + offset)
+
+
+def names_order() -> tuple[Column, ...]:
+    """Documents found by name or path: by score, the newest first, then by id."""
+    return F.asc("r"), F.desc("mtime"), F.asc("doc_id")
+
+
+def may_diversify(options: Options, pages: int, documents: int) -> bool:
+    """One document's pages, and very many pages, are left as they are."""
+    return options.diversity and documents != 1 and pages < THRESHOLD
 
 
 def demoted(index: Index, hits: DataFrame) -> DataFrame:
@@ -240,9 +251,12 @@ def search(index: Index, text: str | ParsedQuery, options: Options | None = None
     if query.names_only:
         hits = named_documents(index, query, options)
         n = hits.count()
-        return Result(top(hits, options.limit, options.offset), n, n, kind="documents")
+        return Result(top(hits, options.limit, options.offset, names_order()), n, n, kind="documents")
     rows = strict_rows(index, query, options)
     pages, documents, approximate = totals(rows)
+    if pages >= THRESHOLD and options.boosts:  # a boost would look at every one of very many pages
+        options = replace(options, boosts=False)
+        rows = strict_rows(index, query, options)
     flags = {"quorum": False, "fuzzy": False}
     ranked = None
     relaxed = parser.quorum_condition(query.terms, options.morphology) if options.quorum and query.only_words and not query.excluded and not query.names and not options.sources else None
@@ -250,8 +264,7 @@ def search(index: Index, text: str | ParsedQuery, options: Options | None = None
         wide = strict_rows(index, query, options, relaxed, query)
         wide_pages, wide_documents, wide_approximate = totals(wide)
         if wide_pages > pages:
-            tail = wide.join(rows.select(F.col("doc_id").alias("_d"), F.col("page").alias("_p")), (F.col("doc_id") == F.col("_d")) & (F.col("page") == F.col("_p")), "left_anti")
-            ranked = diverse(rows).withColumn("part", F.lit(0)).unionByName(diverse(tail).withColumn("part", F.lit(1)))
+            ranked = quorum_rows(rows, wide, options, (pages, documents), (wide_pages, wide_documents))
             pages, documents, approximate, flags["quorum"] = wide_pages, wide_documents, wide_approximate, True
     wants = options.fuzzy == "on" or (options.fuzzy == "auto" and pages < FUZZY_BELOW)
     if ranked is None and wants and query.terms and query.only_words:
@@ -263,19 +276,26 @@ def search(index: Index, text: str | ParsedQuery, options: Options | None = None
             rows = fuzzy_rows(index, query, replace(options, fuzzy_scope="all"), strict_rows(index, query, options))
             pages, documents, approximate = totals(rows)
             flags["fuzzy"] = pages > 0
-    if ranked is not None:
-        cut = ranked.orderBy("part", *ORDER).offset(options.offset).limit(options.limit)
-        hits = cut.withColumn("rank", F.row_number().over(Window.orderBy("part", *ORDER)) + options.offset).drop("part")
-    else:
-        if options.diversity and documents != 1 and pages < THRESHOLD:
-            rows = diverse(rows)
-        hits = top(rows, options.limit, options.offset)
-        if options.toc and not options.offset:
-            late = hits.where(F.col("rank") > TOC_ROWS)
-            hits = demoted(index, hits).drop("is_toc").unionByName(late)
+    order = ("part", *ORDER) if ranked is not None else ORDER
+    if ranked is None:
+        ranked = diverse(rows) if may_diversify(options, pages, documents) else rows
+    hits = top(ranked, options.limit, options.offset, order).drop("part")
+    if options.toc and not options.offset:
+        late = hits.where(F.col("rank") > TOC_ROWS)
+        hits = demoted(index, hits).drop("is_toc").unionByName(late)
     return Result(hits, pages, documents, approximate, flags=flags)
 
 
+def quorum_rows(strict: DataFrame, wide: DataFrame, options: Options, strict_totals: tuple[int, int], wide_totals: tuple[int, int]) -> DataFrame:
+    """wide rows in two parts: the strict pages, then the others. Either part is ranked as its whole search would be, the
+    strict pages among themselves, the others among all relaxed pages: a document's strict pages count for its limit."""
+    own = diverse(strict) if may_diversify(options, *strict_totals) else strict
+    rest = diverse(wide) if may_diversify(options, *wide_totals) else wide
+    keys = strict.select(F.col("doc_id").alias("_d"), F.col("page").alias("_p"))
+    tail = rest.join(keys, (F.col("doc_id") == F.col("_d")) & (F.col("page") == F.col("_p")), "left_anti")
+    return own.withColumn("part", F.lit(0)).unionByName(tail.withColumn("part", F.lit(1)))
+
+
 def named_documents(index: Index, query: ParsedQuery, options: Options) -> DataFrame:
     """(doc_id, page, r, fz): documents by name or path alone; page is the first that passes the provenance filter."""
     docs = index.docs.where(document_filter(query, options))
@@ -303,7 +323,8 @@ def named_documents(index: Index, query: ParsedQuery, options: Options) -> DataF
 
 
 def name_channel(index: Index, query: ParsedQuery, options: Options | None = None, most: int = 5) -> DataFrame:
-    """(id, rel_path, mtime): documents whose file name holds a form of each word, newest first."""
+    """(id, rel_path, mtime): documents whose file name holds a form of each word, newest first; with sources asked for,
+    those with a page of one of them."""
     options = options or Options()
     words = [w for w in query.terms if len("".join(tokens_of(w))) >= 1]
     if not words or not any(len("".join(tokens_of(w))) >= 3 for w in words):
@@ -313,6 +334,9 @@ def name_channel(index: Index, query: ParsedQuery, options: Options | None = Non
     docs = index.docs.where(held)
     wanted = document_filter(query, options)
     docs = docs.where(wanted) if wanted is not None else docs
+    if options.sources:
+        some = filtered(index, index.pages.select("doc_id", "page"), ParsedQuery(), replace(Options(), sources=options.sources)).select(F.col("doc_id").alias("_d"))
+        docs = docs.join(some, F.col("id") == F.col("_d"), "left_semi")
     return docs.orderBy(F.desc("mtime"), "id").limit(most).select("id", "rel_path", "mtime")
 
 

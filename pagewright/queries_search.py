@@ -239,6 +239,28 @@ def _(i):
     return rounded(met.withColumn("part", F.coalesce("part", F.lit(1))), "part")
 
 
+QUORUM_RANKED = f"""{QUORUM},
+half AS (SELECT 1 - 0.5 * (count(DISTINCT doc_id) FILTER (strict) <> 1)::INT AS own, 1 - 0.5 * (count(DISTINCT doc_id) <> 1)::INT AS rest FROM sc),
+own AS (SELECT doc_id, page, 0 AS part, CASE WHEN row_number() OVER (PARTITION BY doc_id ORDER BY r, page) > 3 THEN r * (SELECT own FROM half) ELSE r END AS r FROM sc WHERE strict),
+rest AS (SELECT doc_id, page, 1 AS part, strict, CASE WHEN row_number() OVER (PARTITION BY doc_id ORDER BY r, page) > 3 THEN r * (SELECT rest FROM half) ELSE r END AS r FROM sc),
+al AS (SELECT doc_id, page, part, r FROM own UNION ALL SELECT doc_id, page, part, r FROM rest WHERE NOT strict)"""
+
+
+@query("r12_quorum_ranked", f"{QUORUM_RANKED} SELECT doc_id, page, round(r, 6) AS r, row_number() OVER (ORDER BY part, al.r, doc_id, page) AS rank FROM al")
+def _(i):
+    q, options = parser.parse(f"{A} {B} {C}"), search.Options(morphology=False, boosts=False)
+    strict, wide = search.strict_rows(i, q, options), search.strict_rows(i, q, options, parser.quorum_condition(q.terms, False), q)
+    count = lambda x: search.totals(x)[:2]
+    ranked = search.quorum_rows(strict, wide, options, count(strict), count(wide))
+    return rounded(search.top(ranked, 10**6, order=("part", *search.ORDER)), F.col("rank").cast("long").alias("rank"))
+
+
+@query("m01_search_ranked", f"{DIVERSE}, half AS (SELECT count(DISTINCT doc_id) AS n FROM bo), rk AS (SELECT dv.doc_id, dv.page, CASE WHEN n = 1 THEN bo.r ELSE dv.r END AS r FROM dv JOIN bo USING (doc_id, page), half) SELECT doc_id, page, round(r, 6) AS r, row_number() OVER (ORDER BY rk.r, doc_id, page) AS rank FROM rk ORDER BY rk.r, doc_id, page LIMIT 40")
+def _(i):
+    hits = search.search(i, f"{A} {B}", limit=40, morphology=False, quorum=False, fuzzy="off", toc=False).hits
+    return rounded(hits, F.col("rank").cast("long").alias("rank"))
+
+
 VOCAB_SQL = "vocab AS (SELECT x AS term, count(DISTINCT (doc_id, page)) AS df FROM (SELECT doc_id, page, unnest(t) AS x FROM toks) GROUP BY x)"
 WORD = "thinger"
 
@@ -304,14 +326,15 @@ SELECT nm.doc_id, page, round(-(CASE WHEN ln((n - n0 + 0.5) / (n0 + 0.5)) <= 0 T
 FROM nm JOIN first USING (doc_id), st WHERE f0 > 0"""
 
 
-@query("r19_names_only", NAMED)
+@query("r19_names_only", NAMED.replace("SELECT nm.doc_id, page, round(", "SELECT nm.doc_id, page, row_number() OVER (ORDER BY round(-(CASE WHEN ln((n - n0 + 0.5) / (n0 + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n0 + 0.5) / (n0 + 0.5)) END) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * len / mean)), 12), mtime DESC, nm.doc_id) AS rank, round(").replace("FROM nm JOIN first USING (doc_id), st", "FROM nm JOIN first USING (doc_id) JOIN docs ON docs.id = nm.doc_id, st"))
 def _(i):
-    return rounded(search.named_documents(i, parser.parse("name:fr"), search.Options()))
+    hits = search.search(i, "name:fr", limit=10**6).hits
+    return rounded(hits, F.col("rank").cast("long").alias("rank"))
 
 
-@query("r19_paths_only", "SELECT id AS doc_id, min(page) AS page FROM docs JOIN pages ON doc_id = id WHERE contains(lower(rel_path), 'src3/en') GROUP BY id")
+@query("r19_paths_only", "SELECT id AS doc_id, min(page) AS page, row_number() OVER (ORDER BY any_value(mtime) DESC, id) AS rank FROM docs JOIN pages ON doc_id = id WHERE contains(lower(rel_path), 'src3/en') GROUP BY id")
 def _(i):
-    return search.named_documents(i, parser.parse("path:SRC3/En"), search.Options()).select("doc_id", "page")
+    return search.search(i, "path:SRC3/En", limit=10**6).hits.select("doc_id", "page", F.col("rank").cast("long").alias("rank"))
 
 
 @query("r20_bounded_counts", f"SELECT CAST(least(count(*), 50) AS BIGINT) AS pages, count(*) > 50 AS approximate FROM toks WHERE list_contains(t, '{P2}')")

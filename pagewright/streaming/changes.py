@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.ingest import MAX_ATTEMPTS, replace_pages
-from ..operators.index import fixed_pages
+from ..functions.text import extension
+from ..operators.index import DOCS, PAGE_CHARS, apply_changes, build, fixed_pages, pointer
+from ..operators.ingest import MAX_ATTEMPTS
 
 DONATION_LIMIT, LATENCY = 5000, "3 seconds"
 EVENTS = "event_id long, path string, doc_id long, text string, full_rescan boolean"
@@ -22,32 +23,41 @@ def change_stream(spark: SparkSession, folder: str, schema: str = EVENTS) -> Dat
     return spark.readStream.schema(schema).json(folder)
 
 
-def index_changes(changes: DataFrame, pages_path: str, checkpoint: str, rescan: Callable[[SparkSession], None] | None = None, latency: str | None = LATENCY) -> StreamingQuery:
-    """Writes each batch's documents over their old pages, version after version under pages_path.
+def index_changes(changes: DataFrame, folder: str, checkpoint: str, rescan: Callable[[SparkSession], None] | None = None, latency: str | None = LATENCY) -> StreamingQuery:
+    """Brings each batch's documents into the index under folder, as a segment of their own.
 
-    A batch may come twice: pages are replaced by document, and a batch's version has the batch's number, so that
-    nothing doubles. An event that says that history was lost calls rescan.
+    The last event of a document counts; one without a text removes the document. A batch may come twice: the index
+    remembers the last one's number. An event that says that history was lost calls rescan. A folder without an index
+    gets an empty one first.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
+        batch.persist()  # read from the source once
+        try:
+            bring(batch, number)
+        finally:
+            batch.unpersist()
+
+    def bring(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         if rescan is not None and not batch.where("full_rescan").isEmpty():
             rescan(spark)
+        if pointer(spark, folder) is None:
+            none = lambda schema: spark.createDataFrame([], schema)
+            build(spark, folder, none(DOCS), none("doc_id long, page int, body string"), none("doc_id long, page int, src int, conf double"))
         last = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("event_id")))
-        new = batch.where("doc_id is not null").withColumn("k", last).where("k = 1").select("doc_id", "text")
-        pages = fixed_pages(new)
-        if number > 0:
-            pages = replace_pages(purged(spark.read.parquet(f"{pages_path}/v{number - 1}"), new), pages)
-        pages.write.mode("overwrite").parquet(f"{pages_path}/v{number}")
+        new = batch.where("doc_id is not null").withColumn("k", last).where("k = 1")
+        there, path = new.where("text is not null"), F.col("path")
+        docs = there.select(
+            F.col("doc_id").alias("id"), path.alias("rel_path"), extension(path).alias("ext"), F.split(path, "/")[0].alias("top_folder"), F.octet_length("text").cast("long").alias("size"),
+            F.greatest(F.lit(1), F.ceil(F.length("text") / PAGE_CHARS)).cast("int").alias("n_pages"), F.lit(1).alias("state"),
+        )
+        apply_changes(spark, folder, docs, fixed_pages(there), spark.createDataFrame([], "doc_id long, page int, src int, conf double"), new.where("text is null").select("doc_id"), number)
 
     stream = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (stream.trigger(processingTime=latency) if latency else stream.trigger(availableNow=True)).start()
 
 
-def purged(pages: DataFrame, docs: DataFrame) -> DataFrame:
-    return pages.join(docs.select(F.col("doc_id").alias("_k")), F.col("doc_id") == F.col("_k"), "left_anti")
-
-
 def retries(results: DataFrame) -> DataFrame:
     """(doc_id, page, attempts, status) of a stream of (doc_id, page, ok): done, retry, or dropped at the third failure."""
 
@@ -73,15 +83,17 @@ def retries(results: DataFrame) -> DataFrame:
     return results.groupBy("doc_id", "page").applyInPandasWithState(step, "doc_id long, page int, attempts int, status string", "attempts int", "update", GroupStateTimeout.NoTimeout)
 
 
-def donation(docs: DataFrame, synced_at: float, limit: int = DONATION_LIMIT) -> DataFrame:
-    """The next documents to hand over: indexed at the mark or later, oldest first. Mark 0 hands over all of them."""
-    return docs.where(F.col("indexed_at") >= synced_at).orderBy("indexed_at", "id").limit(limit)
+def donation(docs: DataFrame, synced_at: float, limit: int = DONATION_LIMIT, after: int | None = None) -> DataFrame:
+    """The next documents to hand over: indexed at the mark or later, oldest first, then by id. Mark 0 hands over all of
+    them. after: of those indexed at the mark itself only the ids beyond this one."""
+    later = F.col("indexed_at") >= synced_at if after is None else (F.col("indexed_at") > synced_at) | ((F.col("indexed_at") == synced_at) & (F.col("id") > after))
+    return docs.where(later).orderBy("indexed_at", "id").limit(limit)
 
 
-def next_mark(handed_over: DataFrame, now: float, limit: int = DONATION_LIMIT) -> float:
-    """now where the batch was the last, else the time of the last document handed over."""
-    seen = handed_over.agg(F.count("*").alias("n"), F.max("indexed_at").alias("t")).first()
-    return now if seen.n < limit else seen.t
+def next_mark(handed_over: DataFrame, now: float, limit: int = DONATION_LIMIT) -> tuple[float, int | None]:
+    """(time, id) to go on from: now and none where the batch was the last, else those of the last document handed over."""
+    seen = handed_over.agg(F.count("*").alias("n"), F.max(F.struct("indexed_at", "id")).alias("last")).first()
+    return (now, None) if seen.n < limit else (seen.last.indexed_at, seen.last.id)
 
 
 def workers(samples: DataFrame, machine: str, at: str, level: str, most: int = 4) -> DataFrame:

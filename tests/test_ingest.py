@@ -72,10 +72,53 @@ def test_change_stream_replaces_pages_and_survives_a_restart(spark, tmp_path):
     time.sleep(0.1)
     write(source, "2.json", [event(4, 2, "short", True)])
     run()
-    got = sorted((r.doc_id, r.page, r.body) for r in spark.read.parquet(f"{out}/v1").collect())
+    from pagewright.engine import Engine
+    from pagewright.operators import index
+
+    opened = index.open_index(spark, str(out))
+    got = sorted((r.doc_id, r.page, r.body) for r in opened.pages.collect())
     assert got == [(1, 1, "new"), (2, 1, "short")] and rescans == [1]
-    run()  # nothing new: no further version
-    assert not (out / "v2").exists()
+    assert Engine(opened).search("short", fuzzy="off").pages == 1 and Engine(opened).search("old", fuzzy="off").pages == 0
+    run()  # nothing new: no further segment
+    assert index.pointer(spark, str(out)).segments == opened_segments(spark, out) and index.pointer(spark, str(out)).batch == 1
+    time.sleep(0.1)
+    write(source, "3.json", [event(5, 1, None), event(6, 3, "a third text")])
+    run()
+    opened = index.open_index(spark, str(out))
+    assert {r.doc_id for r in opened.pages.collect()} == {2, 3} and opened.n_pages == 2 and opened.mean_length == 2.0
+    assert {r.term: (r.df, r.cf) for r in opened.vocab.collect()} == {"short": (1, 1), "a": (1, 1), "third": (1, 1), "text": (1, 1)}
+
+
+def opened_segments(spark, folder):
+    from pagewright.operators import index
+
+    return index.pointer(spark, str(folder)).segments
+
+
+def test_segments_answer_as_a_rebuilt_index(spark, tmp_path, monkeypatch):
+    from pagewright.engine import Engine
+    from pagewright.operators import index
+
+    docs = lambda ids: spark.createDataFrame([(k, f"f{k % 3}/d{k}.txt", "txt", f"f{k % 3}", 1, float(k), 1, 1, None, None, None, 1.0, k) for k in ids], index.DOCS)
+    body = lambda k, n: f"pump {'valve ' * (k % 4)}rotor{k % 5} version{n}"
+    pages = lambda ids, n: spark.createDataFrame([(k, 1, body(k, n)) for k in ids], "doc_id long, page int, body string")
+    src = lambda ids: spark.createDataFrame([(k, 1, 2, 0.5) for k in ids if k % 2], "doc_id long, page int, src int, conf double")
+    monkeypatch.setattr(index, "SEGMENTS", 2)
+    state = {k: 0 for k in range(20)}
+    now = index.build(spark, str(tmp_path / "a"), docs(state), pages(state, 0), src(state))
+    for n, (changed, gone) in enumerate([([3, 4, 30], [5]), ([30, 31], [0, 1]), ([5], [])], 1):
+        state = {k: v for k, v in state.items() if k not in gone} | {k: n for k in changed}
+        now = index.apply_changes(spark, str(tmp_path / "a"), docs(changed), pages(changed, n), src(changed), spark.createDataFrame([(k,) for k in gone], "id long"), n)
+        again = index.apply_changes(spark, str(tmp_path / "a"), docs(changed), pages(changed, n), src(changed), None, n)
+        assert again.n_pages == now.n_pages
+        whole = spark.createDataFrame([(k, 1, body(k, v)) for k, v in state.items()], "doc_id long, page int, body string")
+        want = index.build(spark, str(tmp_path / f"b{n}"), docs(state), whole, src(state))
+        assert (now.n_pages, now.mean_length) == (want.n_pages, want.mean_length)
+        for name in ("docs", "pages", "page_src", "vocab"):
+            assert sorted(map(str, getattr(now, name).collect())) == sorted(map(str, getattr(want, name).collect())), name
+        hits = lambda x: [(r.doc_id, round(r.r, 9)) for r in Engine(x).search("valve pump", fuzzy="off").hits.orderBy("rank").collect()]
+        assert hits(now) == hits(want)
+    assert len(index.pointer(spark, str(tmp_path / "a")).segments) <= 2
 
 
 def test_retries_keep_state(spark, tmp_path):
@@ -100,8 +143,15 @@ def test_next_action(state, want):
 def test_donation_marks(spark):
     docs = spark.createDataFrame([(k, float(k)) for k in range(10)], "id long, indexed_at double")
     first = changes.donation(docs, 0.0, 4)
-    assert [r.id for r in first.collect()] == [0, 1, 2, 3] and changes.next_mark(first, 99.0, 4) == 3.0
-    assert changes.next_mark(changes.donation(docs, 8.0, 4), 99.0, 4) == 99.0
+    assert [r.id for r in first.collect()] == [0, 1, 2, 3] and changes.next_mark(first, 99.0, 4) == (3.0, 3)
+    assert changes.next_mark(changes.donation(docs, 8.0, 4), 99.0, 4) == (99.0, None)
+    same = spark.createDataFrame([(k, 5.0) for k in range(6000)], "id long, indexed_at double")
+    seen, mark = [], (0.0, None)
+    for _ in range(3):
+        batch = changes.donation(same, mark[0], 2500, mark[1])
+        seen += [r.id for r in batch.collect()]
+        mark = changes.next_mark(batch, 9.0, 2500)
+    assert seen == list(range(6000)) and mark == (9.0, None)
 
 
 def test_index_pass(spark, tmp_path):
@@ -124,6 +174,28 @@ def test_index_pass(spark, tmp_path):
     assert Engine(second).search("rotor", fuzzy="off").pages == 1 and Engine(second).status()["skipped"] == 1
 
 
+def test_a_new_file_of_equal_size_and_time_is_not_a_moved_one(spark, tmp_path):
+    import os
+
+    from pagewright.engine import Engine
+    from pagewright.plans import index_pass
+
+    root = tmp_path / "files"
+    (root / "2021-03-05 Notes").mkdir(parents=True)
+    one, two = root / "2021-03-05 Notes" / "a.txt", root / "2021-03-05 Notes" / "b.txt"
+    one.write_text("The pump of the plant has failed, and the rotor of this machine was not found with that valve.")
+    os.utime(one, (1_600_000_000, 1_600_000_000))
+    first, _ = index_pass.run(spark, str(root), str(tmp_path / "index"))
+    row = first.docs.first()
+    assert row.lang == "en" and row.doc_date == 1614902400 + 43200 and row.inode is None
+    two.write_text(one.read_text().replace("pump", "seal"))
+    one.unlink()
+    os.utime(two, (1_600_000_000, 1_600_000_000))
+    second, counts = index_pass.run(spark, str(root), str(tmp_path / "index"), first)
+    assert counts == {"new": 1, "removed": 1}
+    assert Engine(second).search("seal", fuzzy="off").pages == 1 and Engine(second).search("pump", fuzzy="off").pages == 0
+
+
 def test_sql_functions(spark):
     from pagewright.functions.register import register
 

@@ -211,6 +211,47 @@ def test_an_index_of_another_schema_is_refused(spark, tmp_path):
         Engine.open(spark, str(tmp_path))
 
 
+def small_index(spark, tmp_path, docs, pages, src=()):
+    from pagewright.operators import index
+
+    rows = [(k, f"w/{name}", "txt", "w", 1, mtime, 1, 1, None, None, None, 1.0, k) for k, name, mtime in docs]
+    return build(
+        spark, f"{tmp_path}/index", spark.createDataFrame(rows, index.DOCS), spark.createDataFrame(pages, "doc_id long, page int, body string"),
+        spark.createDataFrame(list(src), "doc_id long, page int, src int, conf double"),
+    )
+
+
+def test_paths_come_newest_first_and_names_by_source(spark, tmp_path):
+    docs = [(1, "report one.txt", 5.0), (2, "report two.txt", 9.0), (3, "report three.txt", 7.0), (4, "report four.txt", 9.0)]
+    e = Engine(small_index(spark, tmp_path, docs, [(k, 1, "text") for k in range(1, 5)], [(3, 1, 2, 0.9)]))
+    assert [r.doc_id for r in e.search("path:report").hits.orderBy("rank").collect()] == [2, 4, 3, 1]
+    assert [r.doc_id for r in e.search("name:report").hits.orderBy("rank").collect()] == [2, 4, 3, 1]
+    from pagewright.plans import parser, search
+
+    named = lambda **more: [r.id for r in search.name_channel(e.index, parser.parse("report"), search.Options(**more)).collect()]
+    assert named() == [2, 4, 3, 1] and named(sources=(2,)) == [3] and named(sources=(0,)) == [2, 4, 1]
+
+
+def test_a_document_s_strict_pages_count_for_its_limit_in_the_quorum(spark, tmp_path):
+    pages = [(1, k, "alpha beta gamma") for k in (1, 2, 3)] + [(1, 4, "alpha beta other words"), (2, 1, "alpha beta and many other words than these")]
+    e = Engine(small_index(spark, tmp_path, [(1, "a.txt", 1.0), (2, "b.txt", 1.0)], pages))
+    found = e.search("alpha beta gamma", boosts=False, fuzzy="off")
+    assert found.flags["quorum"] and [(r.doc_id, r.page) for r in found.hits.orderBy("rank").collect()] == [(1, 1), (1, 2), (1, 3), (2, 1), (1, 4)]
+
+
+def test_boosts_are_off_on_very_many_pages(spark, tmp_path, monkeypatch):
+    from pagewright.plans import search
+
+    pages = [(k, 1, "alpha beta" if k == 3 else "beta of alpha") for k in range(1, 7)]
+    e = Engine(small_index(spark, tmp_path, [(k, f"{k}.txt", 1.0) for k in range(1, 7)], pages))
+    assert e.search("alpha beta", fuzzy="off").hits.orderBy("rank").first().doc_id == 3
+    plain = search.strict_rows(e.index, search.parser.parse("alpha beta"), search.Options(boosts=False))
+    monkeypatch.setattr(search, "THRESHOLD", 5)
+    monkeypatch.setattr(search.totals, "__defaults__", (5,))
+    found = e.search("alpha beta", fuzzy="off")
+    assert {(r.doc_id, r.r) for r in found.hits.collect()} == {(r.doc_id, r.r) for r in plain.collect()}
+
+
 def test_toc_pages_go_last(engine, spark):
     from pagewright.functions.text import is_toc
 
