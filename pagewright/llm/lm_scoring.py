@@ -2,9 +2,11 @@
 
 Words fall into classes: the end, each of the most frequent words, and the rest by their shape. The log-bilinear model
 gives the class of a token after the classes of the two before it, normalised over all classes by batched matrix
-products; within a class of many words the smoothed share of the word's count stands. Counts of all words and of all
-class triples come from the whole training corpus. Counts of frequent words go out to the tasks in a table of bounded
-size; a rare word's count meets its documents in a join.
+products. Within a class of many words a second one gives the word after the class before it, normalised over the
+class: each word with enough occurrences has a vector of its own, the rest of the class has one together, and is parted
+by smoothed shares of counts. Counts of all words, of all class triples and of all pairs of a class and a word come from
+the whole training corpus. Counts of frequent words go out to the tasks in a table of bounded size; a rare word's count
+meets its documents in a join.
 """
 
 from __future__ import annotations
@@ -27,8 +29,11 @@ TABLE = 400_000
 CLASSES = 128
 WIDTH = 24
 NOISE = 10
-#: Passes over the counts of all triples.
-STEPS = 300
+#: Words of shared classes with vectors of their own: those that occur so often, the most frequent up to a number that
+#: bounds the table of words after classes (8 MB; a word more costs a column, whatever the corpus).
+OFTEN, OWN_WORDS = 50, 16_384
+#: Passes over the counts of all triples, and of all pairs of a class and a word.
+STEPS, WORD_STEPS = 300, 200
 RATE = 0.05
 #: First classes of contexts in a part of a pass.
 PART = 16
@@ -71,11 +76,29 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Vocabulary:
-    """Frequent words: hashes in order, their counts and classes. Classes from 1 are words, then come the shapes."""
+    """Frequent words: hashes in order, their counts and classes. Classes from 1 are words, then come the shapes.
+
+    slots: the number of a word with a vector in its shape, else -1; after all words come the rests of the shapes.
+    shape_of: the shape of each such word.
+    """
 
     hashes: np.ndarray
     counts: np.ndarray
     classes: np.ndarray
+    slots: np.ndarray
+    shape_of: np.ndarray
+
+    def slot(self, row: np.ndarray, shape: np.ndarray) -> np.ndarray:
+        """The slot of each token; -1 for those that are classes of their own."""
+        own = self.slots[row] if len(self.slots) else np.full(len(row), -1)
+        own = np.where((row >= 0) & (own >= 0), own, len(self.shape_of) + shape)
+        alone = (shape < 0) if not len(self.classes) else (shape < 0) | (row >= 0) & (self.classes[row] > 0)
+        return np.where(alone, -1, own)
+
+    @property
+    def members(self) -> np.ndarray:
+        """The shape of each slot."""
+        return np.concatenate([self.shape_of, np.arange(_SHAPES)])
 
     def look_up(self, value: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row or -1, class) of each token."""
@@ -147,6 +170,59 @@ def train(triples: np.ndarray, counts: np.ndarray, steps: int = STEPS, seed: int
     return model
 
 
+@dataclass
+class Words:
+    """score(word | class before) = after[class before] . out[word] + bias[word], among the words of one shape."""
+
+    after: np.ndarray
+    out: np.ndarray
+    bias: np.ndarray
+    members: np.ndarray
+
+    def log_probabilities(self) -> np.ndarray:
+        """Log10 probabilities, [class before, slot], normalised over the slots of each shape."""
+        s = (self.after @ self.out.T + self.bias).astype(np.float64)
+        total = np.zeros((len(self.after), _SHAPES))
+        most = np.full((len(self.after), _SHAPES), -np.inf)
+        np.maximum.at(most.T, self.members, s.T)
+        np.add.at(total.T, self.members, np.exp(s - most[:, self.members]).T)
+        return ((s - (most + np.log(total))[:, self.members]) / np.log(10)).astype(np.float32)
+
+
+def train_words(pairs: np.ndarray, counts: np.ndarray, members: np.ndarray, steps: int = WORD_STEPS, seed: int = 1) -> Words:
+    """Noise-contrastive estimation within each shape, by whole passes over all pairs (class before, slot).
+
+    The noise of a shape is the shares of its slots; it counts with its expectation.
+    """
+    rng = np.random.default_rng(seed)
+    share = np.bincount(pairs[:, 1], counts, len(members)) + 0.5 if len(pairs) else np.full(len(members), 0.5)
+    share = share / np.bincount(members, share, _SHAPES)[members]
+    model = Words(rng.normal(0, 0.1, (CLASSES, WIDTH)).astype(np.float32), np.zeros((len(members), WIDTH), np.float32), np.log(share).astype(np.float32), members)
+    if not len(pairs):
+        return model
+    true = np.zeros((CLASSES, len(members)), np.float32)
+    true[pairs[:, 0], pairs[:, 1]] = counts / counts.sum()
+    total = np.zeros((CLASSES, _SHAPES), np.float32)
+    np.add.at(total.T, members, true.T)
+    weight, log_noise = true + total[:, members] * (NOISE * share).astype(np.float32), np.log(NOISE * share).astype(np.float32)
+    parts = [model.after, model.out, model.bias]
+    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in parts]
+    for step in range(1, steps + 1):
+        g = model.after @ model.out.T
+        g += model.bias - log_noise
+        np.clip(g, -60, 60, out=g)
+        np.exp(-g, out=g)
+        g += 1
+        np.divide(weight, g, out=g)
+        g -= true
+        rate = RATE * (1 - 0.9 * step / steps)
+        for p, d, m in zip(parts, (g @ model.out, g.T @ model.after, g.sum(axis=0)), moments, strict=True):
+            m[0] = 0.9 * m[0] + 0.1 * d
+            m[1] = 0.999 * m[1] + 0.001 * d * d
+            p -= rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-9)
+    return model
+
+
 def _counted(keys: list[np.ndarray], more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key, first, n = np.unique(np.concatenate(keys), return_index=True, return_counts=True)
     return key, np.concatenate(more)[first], n
@@ -156,13 +232,14 @@ def _counted(keys: list[np.ndarray], more: list[np.ndarray]) -> tuple[np.ndarray
 class Model:
     vocabulary: Vocabulary
     language: LogBilinear
+    words: Words
     counts: DataFrame  # hash, shape, n of every token of the training corpus, written
     total: int
     distinct: int
-    log_class: np.ndarray  # log10 of each class's smoothed total; 0 where a class is one word
+    log_rest: np.ndarray  # log10 of the smoothed total of each shape's words without vectors
 
 
-def learn(docs: DataFrame, text_col: str = "text", use: Column | None = None, table: int = TABLE, steps: int = STEPS) -> Model:
+def learn(docs: DataFrame, text_col: str = "text", use: Column | None = None, table: int = TABLE, steps: int = STEPS, often: int = OFTEN, own_words: int = OWN_WORDS) -> Model:
     """The model from all rows where `use` holds (a null is not)."""
     rows = docs if use is None else docs.where(use)
     rows = rows.select(F.lit(0).alias("k"), text_or_empty(text_col).alias("text"))
@@ -189,57 +266,75 @@ def learn(docs: DataFrame, text_col: str = "text", use: Column | None = None, ta
     by_shape = {r["shape"]: (r["t"], r["v"]) for r in counts.groupBy("shape").agg(F.sum("n").alias("t"), F.count("*").alias("v")).collect()}
     total, distinct = sum(t for t, _ in by_shape.values()), sum(v for _, v in by_shape.values())
     top = words_only.orderBy(F.desc("n"), "hash").limit(TOP).collect()
-    log_class = np.zeros(CLASSES)
-    for shape in range(_SHAPES):
-        t, v = by_shape.get(shape, (0, 0))
-        own = [r["n"] for r in top if r["shape"] == shape]
-        log_class[1 + TOP + shape] = np.log10(t - sum(own) + 0.5 * (v - len(own) + 1))
-    vocabulary = _frequent(counts, top, table)
+    vocabulary = _frequent(counts, top, table, often, own_words)
+    held = np.flatnonzero(vocabulary.slots >= 0)
+    taken = [(r["shape"], r["n"]) for r in top] + list(zip(vocabulary.shape_of[vocabulary.slots[held]].tolist(), vocabulary.counts[held].tolist(), strict=True))
+    gone, kinds = np.zeros(_SHAPES), np.zeros(_SHAPES)
+    for shape, n in taken:
+        gone[shape] += n
+        kinds[shape] += 1
+    log_rest = np.log10([by_shape.get(k, (0, 0))[0] - gone[k] + 0.5 * (by_shape.get(k, (0, 0))[1] - kinds[k] + 1) for k in range(_SHAPES)])
+    members = vocabulary.members
     spread = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
     def triple(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(CLASSES**3, np.int64)
+        seen = np.zeros(CLASSES**3 + CLASSES * len(members), np.int64)
         for batch in slices(batches):
             _, value, shape = tokens(batch.column(1))
-            _, kind = spread.value.look_up(value, shape)
-            code = _codes(kind)
-            at, n = np.unique(code, return_counts=True)
+            row, kind = spread.value.look_up(value, shape)
+            slot = spread.value.slot(row, shape)
+            pair = CLASSES**3 + _before(kind) * len(members) + slot
+            at, n = np.unique(np.concatenate([_codes(kind), pair[slot >= 0]]), return_counts=True)
             seen[at] += n
         at = np.flatnonzero(seen)
         yield pa.record_batch([pa.array(at), pa.array(seen[at])], names=["code", "n"])
 
     triples = rows.mapInArrow(triple, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toPandas()
     code, n = triples["code"].to_numpy(np.int64), triples["n"].to_numpy(np.float64)
-    language = train(np.column_stack([code // CLASSES**2, code // CLASSES % CLASSES, code % CLASSES]), n, steps)
-    return Model(vocabulary, language, counts, total, distinct, log_class)
+    pairs = code >= CLASSES**3
+    pair, triple_of = code[pairs] - CLASSES**3, code[~pairs]
+    language = train(np.column_stack([triple_of // CLASSES**2, triple_of // CLASSES % CLASSES, triple_of % CLASSES]), n[~pairs], steps)
+    own = train_words(np.column_stack([pair // len(members), pair % len(members)]), n[pairs], members)
+    return Model(vocabulary, language, own, counts, total, distinct, log_rest)
+
+
+def _before(kind: np.ndarray) -> np.ndarray:
+    """The class of the token before each; before a text's first there is an end."""
+    return np.concatenate([[END_CLASS], kind[:-1]])[: len(kind)]
 
 
 def _codes(kind: np.ndarray) -> np.ndarray:
     """A number for each token and the two before it; before a text's first there are ends."""
-    one = np.concatenate([[END_CLASS], kind[:-1]])[: len(kind)]
+    one = _before(kind)
     two = np.concatenate([[END_CLASS, END_CLASS], kind[:-2]])[: len(kind)]
     two = np.where(one == END_CLASS, END_CLASS, two)
     return (two * CLASSES + one) * CLASSES + kind
 
 
-def _frequent(counts: DataFrame, top: list, table: int) -> Vocabulary:
-    """The words with the highest counts: all with at least the count that keeps their number to `table`."""
+def _frequent(counts: DataFrame, top: list, table: int, often: int, own_words: int) -> Vocabulary:
+    """The words with the highest counts: all with at least the count that keeps their number to `table`, and those that are classes. Of those that
+    have no class of their own, the ones that occur `often` get slots, own_words at most."""
     sizes = counts.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).agg(F.count("*").alias("v")).orderBy(F.desc("n"))
     least, held = (1 << 20) + 1, 0
     for r in sizes.toLocalIterator():
         if held + r["v"] > table:
             break
         least, held = r["n"], held + r["v"]
-    got = counts.where(F.col("n") >= least).select("hash", "n").toPandas()
+    always = F.col("hash").isin([END_HASH, *(r["hash"] for r in top)])  # the end and the words that are classes
+    got = counts.where((F.col("n") >= least) | always).select("hash", "n", "shape").toPandas()
     known, n = np.ascontiguousarray(got["hash"].to_numpy(np.int64)).view(np.uint64), got["n"].to_numpy(np.int64)
     order = np.argsort(known)
-    known, n = known[order], n[order]
+    known, n, shape = known[order], n[order], got["shape"].to_numpy(np.int64)[order]
     classes = np.zeros(len(known), np.int16)
     for k, r in enumerate(top):
         place = np.searchsorted(known, np.uint64(r["hash"] & (1 << 64) - 1))
         if place < len(known) and known[place] == np.uint64(r["hash"] & (1 << 64) - 1):
             classes[place] = k + 1
-    return Vocabulary(known, n, classes)
+    slots = np.full(len(known), -1, np.int32)
+    free = np.flatnonzero((classes == 0) & (shape >= 0) & (n >= often))
+    chosen = free[np.argsort(-n[free], kind="stable")[:own_words]]
+    slots[chosen] = np.arange(len(chosen))
+    return Vocabulary(known, n, classes, slots, shape[chosen])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,19 +345,21 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    spread = spark.sparkContext.broadcast((model.vocabulary, model.language, model.log_class))
+    spread = spark.sparkContext.broadcast((model.vocabulary, model.language, model.words, model.log_rest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, language, log_class = spread.value
-        table = language.log_probabilities().ravel()
+        vocabulary, language, own_words, log_rest = spread.value
+        table, word_table = language.log_probabilities().ravel(), own_words.log_probabilities()
+        held = len(vocabulary.shape_of)
         log_count = np.log10(vocabulary.counts + 0.5) if len(vocabulary.counts) else np.zeros(1)
         for batch in slices(batches):
             n = batch.num_rows
             text, value, shape = tokens(batch.column(1))
             row, kinds = vocabulary.look_up(value, shape)
             logs = np.where(row >= 0, log_count[row], 0.0)
-            shaped = kinds > TOP
-            own = table[_codes(kinds)].astype(np.float64) + np.where(shaped, logs - log_class[kinds], 0.0)
+            slot = vocabulary.slot(row, shape)
+            own = table[_codes(kinds)].astype(np.float64) + np.where(slot >= 0, word_table[_before(kinds), slot], 0.0)
+            own += np.where(slot >= held, logs - log_rest[np.maximum(shape, 0)], 0.0)
             rare = np.flatnonzero(row < 0)
             cut = np.searchsorted(text[rare], np.arange(n + 1)).astype(np.int32)
             yield pa.record_batch([
