@@ -30,8 +30,8 @@ CLASSES = 128
 WIDTH = 24
 NOISE = 10
 #: Words of shared classes with vectors of their own: those that occur so often, the most frequent up to a number that
-#: bounds the table of words after classes (8 MB; a word more costs a column, whatever the corpus).
-OFTEN, OWN_WORDS = 50, 16_384
+#: bounds the table of words after classes (4 MB; a word more costs a column, whatever the corpus).
+OFTEN, OWN_WORDS = 50, 8_192
 #: Passes over the counts of all triples, and of all pairs of a class and a word.
 STEPS, WORD_STEPS = 300, 200
 RATE = 0.05
@@ -289,12 +289,19 @@ def learn(docs: DataFrame, text_col: str = "text", use: Column | None = None, ta
         at = np.flatnonzero(seen)
         yield pa.record_batch([pa.array(at), pa.array(seen[at])], names=["code", "n"])
 
-    triples = rows.mapInArrow(triple, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toPandas()
-    code, n = triples["code"].to_numpy(np.int64), triples["n"].to_numpy(np.float64)
-    pairs = code >= CLASSES**3
-    pair, triple_of = code[pairs] - CLASSES**3, code[~pairs]
-    language = train(np.column_stack([triple_of // CLASSES**2, triple_of // CLASSES % CLASSES, triple_of % CLASSES]), n[~pairs], steps)
-    own = train_words(np.column_stack([pair // len(members), pair % len(members)]), n[pairs], members)
+    seen = written(rows.mapInArrow(triple, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "triples")
+
+    def trained(first: int, last: int, *sizes: int):
+        """Codes from first to last as columns of digits, and their counts; one kind at a time is on the driver."""
+        got = seen.where((F.col("code") >= first) & (F.col("code") < last)).select((F.col("code") - first).cast("int").alias("code"), F.col("n").cast("double").alias("n")).toArrow()
+        code, digits = got["code"].to_numpy(), []
+        for size in reversed(sizes):
+            digits.insert(0, code % size)
+            code = code // size
+        return np.column_stack(digits), got["n"].to_numpy()
+
+    language = train(*trained(0, CLASSES**3, CLASSES, CLASSES, CLASSES), steps)
+    own = train_words(*trained(CLASSES**3, CLASSES**3 + CLASSES * len(members), CLASSES, len(members)), members)
     return Model(vocabulary, language, own, counts, total, distinct, log_rest)
 
 
