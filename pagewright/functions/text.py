@@ -122,10 +122,39 @@ def document_date(text: Column) -> Column:
     return F.when(good, F.unix_date(day).cast("long") * 86_400 + NOON)
 
 
-def deep_link(scheme: str, path: Column, page: Column, query: Column) -> Column:
-    """scheme://open?path=...&page=...&q=..., values percent-encoded with %20 for a blank."""
+def deep_link(scheme: str, path: Column, page: Column, query: Column, doc_id: Column | None = None, seconds: Column | None = None) -> Column:
+    """scheme://open?path=...&page=...&q=...&t=..., values percent-encoded with %20 for a blank.
+
+    Without a path doc=... names the document; what is null, an empty query and a time below 0 are left out.
+    """
     coded = lambda x: F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))
-    return F.concat(F.lit(f"{scheme}://open?path="), coded(path), F.lit("&page="), page.cast("string"), F.lit("&q="), coded(query))
+    part = lambda name, x: F.concat(F.lit(name + "="), x)
+    target = part("path", coded(path))
+    if doc_id is not None:
+        target = F.coalesce(target, part("doc", doc_id.cast("string")))
+    more = [part("page", page.cast("string")), F.when(query != "", part("q", coded(query)))]
+    if seconds is not None:
+        more.append(F.when(seconds >= 0, part("t", seconds.cast("long").cast("string"))))
+    return F.concat(F.lit(f"{scheme}://open?"), F.concat_ws("&", target, *more))
+
+
+def year_start(day: Column, years_back: int = 0) -> Column:
+    """The first day of the calendar year so many years back."""
+    return F.make_date(F.year(day) - years_back, F.lit(1), F.lit(1))
+
+
+def strict_day(text: Column) -> Column:
+    """The day of a text that is YYYY-MM-DD and nothing else, else null; 2025-02-30 is none."""
+    return F.try_to_date(F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), text), "yyyy-MM-dd")
+
+
+def serial_day(number: Column, since_1904: bool = False) -> Column:
+    """The day of a spreadsheet's serial number. Days since 1900 count a 29 February 1900 that never was (number 60): it
+    is null here, and numbers before it are a day later than those after it would say."""
+    n = F.floor(number).cast("int")
+    if since_1904:
+        return F.when(n >= 0, F.date_add(F.lit("1904-01-01").cast("date"), n))
+    return F.when(n > 60, F.date_add(F.lit("1899-12-30").cast("date"), n)).when((n >= 1) & (n < 60), F.date_add(F.lit("1899-12-31").cast("date"), n))
 
 
 def plain_snippet(text: Column, start: str = "«", end: str = "»", most: int = 200) -> Column:
@@ -168,18 +197,30 @@ def is_toc(text: Column) -> Column:
 
 
 #: What a message of an extraction error holds, and the class it stands for; the first that fits counts.
+#: A message may also be matched as a whole (=) or by its start (^).
 REASONS = (
-    ("password", "password"), ("encrypt", "password"), ("permission", "permission"), ("not found", "missing"), ("no such file", "missing"),
-    ("unsupported", "unsupported"), ("too large", "too_large"), ("timeout", "timeout"), ("binary", "binary"), ("mojibake", "garbled"),
-    ("truncated", "truncated"), ("corrupt", "corrupt"), ("empty", "empty"),
+    ("missing-tool:", "missing_tool"), ("binary ole format", "legacy_office"), ("quicklook preview", "no_preview"),
+    ("minified source", "nothing_to_index"), ("=no text", "nothing_to_index"), ("-character run without a space", "data_dump"), ("data dump", "data_dump"),
+    ("no text layer", "scan_without_text"), ("needs a page renderer", "missing_tool"), ("needs a converter", "legacy_office"),
+    ("speech recognition returned nothing", "transcription_empty"), ("speech recognition stopped answering", "transcription_stopped"),
+    ("=no metadata", "recording_not_transcribed"), ("^no metadata (longer than", "recording_too_long"), ("^no metadata (", "nothing_to_index"),
+    ("not a mailbox", "not_a_mailbox"), ("ole container without", "damaged"), ("password", "password"), ("document is locked", "password"),
+    ("not downloaded", "not_downloaded"), ("file too large", "too_large"), ("entry too large", "too_large"), ("output too large", "too_large"), ("too large", "too_large"),
+    ("document too long", "too_many_pages"), ("below the ocr weight floor", "image_too_light"), ("below the ocr size floor", "image_too_small"),
+    ("gave up after", "scan_unreadable"), ("deadline exceeded", "too_slow"), ("did not return within", "too_slow"), ("timeout", "too_slow"),
+    ("permission denied", "permission"), ("operation not permitted", "permission"), ("read denied", "permission"), ("unreadable root", "permission"),
+    ("no such file or directory", "missing"), ("not found", "missing"), ("unsupported", "unsupported"), ("binary", "unsupported"),
+    ("returned nil", "damaged"), ("mojibake", "damaged"), ("unrecognized encoding", "damaged"), ("unrecognised encoding", "damaged"), ("corrupt", "damaged"),
 )
 
 
 def unreadable_reason(message: Column) -> Column:
+    """The class of an extraction error's message; `other` where none fits, null without a message."""
     lower = F.lower(F.coalesce(message, F.lit("")))
     out = F.lit("other")
     for part, reason in reversed(REASONS):
-        out = F.when(F.contains(lower, F.lit(part)), reason).otherwise(out)
+        fits = lower == part[1:] if part[0] == "=" else F.startswith(lower, F.lit(part[1:])) if part[0] == "^" else F.contains(lower, F.lit(part))
+        out = F.when(fits, reason).otherwise(out)
     return F.when(lower == "", F.lit(None).cast("string")).otherwise(out)
 
 

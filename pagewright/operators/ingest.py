@@ -151,15 +151,56 @@ def ignored(path: Column, is_dir: Column, rules: list[str]) -> Column:
     return out
 
 
+def union_rules(*sources: list[str]) -> list[str]:
+    """The rules of several sources, each once, in their order; rules that differ in case or accents alone are one."""
+    out: dict[str, str] = {}
+    for rule in (x.strip() for own in sources for x in own):
+        if rule and not rule.startswith("#"):
+            out.setdefault(fold_word(rule), rule)
+    return list(out.values())
+
+
+#: Names of systems, tools and caches that are never read.
+SYSTEM_NAMES = (
+    "$recycle.bin", "system volume information", "thumbs.db", "desktop.ini", "node_modules", "venv", "deriveddata", "pods", "carthage", "__pycache__",
+)
+#: Folders that are one thing, not a folder of documents, by their extension.
+PACKAGES = (
+    "app", "appex", "framework", "bundle", "plugin", "kext", "xpc", "qlgenerator", "mdimporter", "prefpane", "component", "saver",
+    "photoslibrary", "aplibrary", "migratedaperturelibrary", "musiclibrary", "tvlibrary", "imovielibrary", "theater", "fcpbundle", "band", "logicx", "pkpass",
+    "xcodeproj", "xcworkspace", "xcarchive", "dsym", "playground", "docset", "sparsebundle", "vmwarevm", "pvm", "utm", "scptd", "download", "webhistory",
+)
+#: Files that make their folder a project.
+PROJECT_MARKERS = (
+    "package.json", "cargo.toml", "pom.xml", "build.gradle", "build.gradle.kts", "pyproject.toml", "setup.py", "go.mod", "package.swift", "gemfile", "composer.json", ".git",
+)
 #: Folders that builds make, left out where their parent is a project.
-BUILD_FOLDERS = ("node_modules", "build", "target", "dist", ".build")
+BUILD_FOLDERS = (
+    "dist", "build", "out", "target", ".next", ".nuxt", "coverage", "vendor", "bower_components", ".pytest_cache", ".mypy_cache", ".ruff_cache",
+    ".dart_tool", ".terraform", "site-packages", "__snapshots__",
+)
 
 
 def excluded_from_crawl(path: Column, project: Column) -> Column:
-    """Hidden parts, ._ files, .noindex folders; build folders in a project."""
-    parts = F.split(path, "/")
-    hidden = F.exists(parts, lambda x: F.startswith(x, F.lit(".")) | F.endswith(x, F.lit(".noindex")))
-    return hidden | (project & F.exists(parts, lambda x: x.isin(*BUILD_FOLDERS)))
+    """Hidden parts, names of systems and caches, .noindex folders, what lies in a package; build folders in a project."""
+    parts = F.split(F.lower(path), "/")
+    folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    hidden = F.exists(parts, lambda x: F.startswith(x, F.lit(".")) | F.endswith(x, F.lit(".noindex")) | x.isin(*SYSTEM_NAMES))
+    packed = F.exists(folders, lambda x: F.regexp_extract(x, r".\.([^.]*)$", 1).isin(*PACKAGES))
+    return hidden | packed | (project & F.exists(folders, lambda x: x.isin(*BUILD_FOLDERS)))
+
+
+def crawled(files: DataFrame) -> DataFrame:
+    """files (path) that a crawl keeps: a build folder counts as one only where a file beside it marks a project."""
+    parts = F.split("path", "/")
+    marked = files.where(F.lower(F.element_at(parts, -1)).isin(*PROJECT_MARKERS))
+    projects = marked.select(F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/").alias("_root")).distinct()
+    plain = files.where(~excluded_from_crawl(F.col("path"), F.lit(False)))
+    # each build folder on a path, and the folder it lies in
+    own = F.filter(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.lower(F.get(parts, k - 1)).isin(*BUILD_FOLDERS) & (k < F.size(parts)))
+    inside = plain.select("path", F.explode(F.transform(own, lambda k: F.array_join(F.slice(parts, F.lit(1), k - 1), "/"))).alias("_root"))
+    out = inside.join(projects, "_root", "left_semi").select(F.col("path").alias("_p")).distinct()
+    return plain.join(out, F.col("path") == F.col("_p"), "left_anti")
 
 
 def deduplicated_labels(roots: DataFrame) -> DataFrame:

@@ -40,6 +40,7 @@ class Options:
     sources: tuple[int, ...] = ()
     doc_ids: tuple[int, ...] = ()
     served: tuple[str, ...] = ()
+    under: str | None = None
     morphology: bool = True
     boosts: bool = True
     diversity: bool = True
@@ -59,6 +60,7 @@ class Result:
     approximate: bool = False
     kind: str = "pages"
     flags: dict[str, bool] = field(default_factory=dict)
+    advice: list[str] = field(default_factory=list)
 
 
 # --- filters ---------------------------------------------------------------------------------------------------
@@ -77,6 +79,8 @@ def document_filter(query: ParsedQuery, options: Options) -> Column | None:
         parts.append(language_or_und(F.col("lang")).isin([x.lower() for x in options.langs]))
     if options.since is not None:
         parts.append(F.col("mtime") >= options.since)
+    if options.under:
+        parts.append(F.startswith("rel_path", F.lit(options.under)))
     if options.doc_ids:
         parts.append(F.col("id").isin(list(options.doc_ids)))
     parts += [F.contains(fold(F.col("rel_path")), F.lit(fold_word(x))) for x in query.paths]
@@ -91,6 +95,16 @@ def document_filter(query: ParsedQuery, options: Options) -> Column | None:
     return reduce(lambda a, b: a & b, parts) if parts else None
 
 
+def unknown_values(index: Index, options: Options) -> dict[str, list]:
+    """The languages and ids asked for that no document has."""
+    out: dict[str, list] = {}
+    for name, asked, column in (("language", [x.lower() for x in options.langs], language_or_und(F.col("lang"))), ("document", list(options.doc_ids), F.col("id"))):
+        if asked:  # at most as many rows as are asked for
+            have = {r[0] for r in index.docs.select(column.alias("v")).where(F.col("v").isin(asked)).distinct().collect()}
+            out[name] = [x for x in asked if x not in have]
+    return {k: x for k, x in out.items() if x}
+
+
 def name_holds(name: Column, value: str, morphology: bool = True) -> Column:
     """The name's tokens hold the value: a word in any form, several as a phrase."""
     words = tokens_of(value)
@@ -270,8 +284,10 @@ def search(index: Index, text: str | ParsedQuery, options: Options | None = None
     if ranked is None and wants and query.terms and query.only_words:
         scanned = options.fuzzy_scope == "all" or not index.page_src.where("src <> 0").isEmpty()
         if scanned:
+            strict_pages = pages
             rows = fuzzy_rows(index, query, options, rows)
             pages, documents, approximate = totals(rows)
+            flags["expanded"] = pages > strict_pages
         if pages == 0 and options.fuzzy_scope != "all":
             rows = fuzzy_rows(index, query, replace(options, fuzzy_scope="all"), strict_rows(index, query, options))
             pages, documents, approximate = totals(rows)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from . import corpus
 from .corpus import SQL as CORPUS
 from .functions import html, pagination, text
-from .operators import evaluation, ingest
+from .operators import evaluation, ingest, upkeep
+from .operators.ranks import numbered
 
 RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -78,11 +79,6 @@ def _(spark, d):
     return met.select("doc_id", (F.col("back") == F.coalesce("text", F.lit(""))).alias("lossless"), (F.col("most") <= 4000).alias("bounded"), F.md5("back").alias("digest"))
 
 
-@query("u07_budget", "SELECT doc_id, substr(text, 1, 2000) = text AS whole FROM documents")
-def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", (F.substring("text", 1, 2000) == F.col("text")).alias("whole"))
-
-
 def budget_sql(budget: int) -> str:
     """A cut falls before the character that the budget ends in: up to three bytes (8x to Bx in hex) are let go."""
     byte = [f"substr(hex(encode(text)), {2 * (budget - k) + 1}, 1) IN ('8', '9', 'A', 'B')" for k in range(3)]
@@ -136,13 +132,22 @@ def _(spark, d):
 @query("u13_date_window", "SELECT count(*) AS n FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1996-01-01' AND CAST(o_orderdate AS DATE) < DATE '1998-03-15'")
 def _(spark, d):
     day = F.col("o_orderdate").cast("date")
-    start = F.date_trunc("year", F.add_months(F.lit("1998-06-01").cast("date"), -24)).cast("date")
-    return table(spark, d, "orders").where((day >= start) & (day < F.try_to_timestamp(F.lit("1998-03-15"), F.lit("yyyy-MM-dd")))).agg(F.count("*").alias("n"))
+    start, end = text.year_start(F.lit("1998-06-01").cast("date"), 2), text.strict_day(F.lit("1998-03-15"))
+    return table(spark, d, "orders").where((day >= start) & (day < end)).agg(F.count("*").alias("n"))
+
+
+@query("u13_strict_days", """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CAST(o_orderdate AS DATE) WHEN 1 THEN NULL ELSE CASE WHEN o_orderkey % 31 BETWEEN 1 AND 28 THEN make_date(2023, 2, CAST(o_orderkey % 31 AS INTEGER)) END END AS day FROM orders""")
+def _(spark, d):
+    k = F.col("o_orderkey")
+    written = F.when(k % 3 == 0, F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM-dd")).when(k % 3 == 1, F.date_format(F.col("o_orderdate").cast("date"), "yyyy-M-d "))
+    return table(spark, d, "orders").select("o_orderkey", text.strict_day(written.otherwise(F.concat(F.lit("2023-02-"), F.lpad((k % 31).cast("string"), 2, "0")))).alias("day"))
 
 
-@query("u14_serial_dates", "SELECT o_orderkey, CAST(DATE '1899-12-30' + CAST(30000 + o_orderkey % 5000 AS INTEGER) AS DATE) AS day FROM orders")
+@query("u14_serial_dates", """SELECT o_orderkey, CASE WHEN n > 60 THEN CAST(DATE '1899-12-30' + n AS DATE) WHEN n BETWEEN 1 AND 59 THEN CAST(DATE '1899-12-31' + n AS DATE) END AS day, CAST(DATE '1904-01-01' + n AS DATE) AS day_1904
+FROM (SELECT o_orderkey, CAST(o_orderkey % 5000 AS INTEGER) AS n FROM orders)""")
 def _(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", F.date_add(F.lit("1899-12-30").cast("date"), (30000 + F.col("o_orderkey") % 5000).cast("int")).alias("day"))
+    n = F.col("o_orderkey") % 5000 + 0.75  # times of day don't count
+    return table(spark, d, "orders").select("o_orderkey", text.serial_day(n).alias("day"), text.serial_day(n, since_1904=True).alias("day_1904"))
 
 
 _AT = "greatest(1, least(CAST(floor(length(text) * {0}) AS INTEGER) - 666, length(text) - 1332))"
@@ -154,9 +159,11 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", *(s[k].alias(f"s{k}") for k in range(3)))
 
 
-@query("u18_reason", "SELECT id, CASE WHEN contains(lower(err), 'password') THEN 'password' WHEN contains(lower(err), 'not found') THEN 'missing' END AS reason FROM docs", derived=True)
+@query("u18_reason", "SELECT id, ['password', 'nothing_to_index', 'recording_too_long', 'legacy_office', 'too_large', 'too_slow', 'damaged', 'unsupported', 'other'][id % 9 + 1] AS reason FROM docs", derived=True)
 def _(spark, d):
-    return corpus.docs(spark, d).select("id", text.unreadable_reason(F.col("err")).alias("reason"))
+    said = ("extraction: password-protected file", "No text", "no metadata (longer than 5 min)", "Unsupported binary OLE format", "output too large", "Deadline exceeded: x", "PDFDocument returned nil", "unsupported format: .x", "this has no text in it")
+    err = F.element_at(F.array(*(F.lit(x) for x in said)), (F.col("id") % 9 + 1).cast("int"))
+    return corpus.docs(spark, d).select("id", text.unreadable_reason(err).alias("reason"))
 
 
 @query("u20_ocr_priority", "SELECT id, CASE WHEN id % 50 = 0 THEN 0 WHEN n_pages < 100 THEN 1 ELSE 2 END AS prio FROM docs", derived=True)
@@ -219,6 +226,22 @@ def _(spark, d):
     return corpus.docs(spark, d).select("id", ingest.ignored(F.col("rel_path"), F.lit(False), ["FR/", "src2", "/corpus/SRC5", "doc_1*.md"]).alias("ignored"))
 
 
+@query("s05_union_of_rules", "SELECT id, contains(rel_path, '/fr/') OR contains(rel_path, '/src2/') OR starts_with(rel_path, 'corpus/src5/') AS ignored FROM docs", derived=True)
+def _(spark, d):
+    rules = ingest.union_rules(["FR/", "# a remark", "src2"], ["fr/", "", "SRC2", "/corpus/src5"])
+    return corpus.docs(spark, d).where(F.lit(len(rules) == 3)).select("id", ingest.ignored(F.col("rel_path"), F.lit(False), rules).alias("ignored"))
+
+
+@query("p18_crawl", "SELECT id FROM docs WHERE NOT (id % 7 = 0 OR id % 5 = 0 AND id % 2 = 0)", derived=True)
+def _(spark, d):
+    k = F.col("id")
+    folder = F.when(k % 7 == 0, "Thing.app").when(k % 5 == 0, F.concat(F.when(k % 2 == 0, "soft").otherwise("plain"), F.lit("/Build"))).otherwise("plain")
+    files = corpus.docs(spark, d).select(F.concat(folder, F.lit("/"), "rel_path").alias("path"))
+    marks = spark.createDataFrame([("soft/Package.json",), ("pyproject.txt",)], "path string")
+    kept = ingest.crawled(files.unionByName(marks)).where("path like '%doc_%'")
+    return kept.select(F.regexp_extract("path", r"doc_(\d+)\.", 1).cast("long").alias("id"))
+
+
 @query("p18_crawl_exclusions", "SELECT id, id % 7 = 0 OR id % 5 = 0 AND id % 3 = 0 AS excluded FROM docs", derived=True)
 def _(spark, d):
     folder = F.when(F.col("id") % 7 == 0, ".cache").when(F.col("id") % 5 == 0, "build").otherwise("plain")
@@ -228,9 +251,30 @@ def _(spark, d):
 # --- sources and sinks -----------------------------------------------------------------------------------------
 
 
-@query("f01_line_counts", "SELECT doc_id, len(string_split(text, chr(10))) AS lines FROM documents")
+def _extracted(files: DataFrame) -> DataFrame:
+    """(doc_id, status, pages, solid): what the readers make of files named by their id; solid: characters that aren't white."""
+    from .sources.extract import extract
+
+    solid = F.length(F.regexp_replace(F.coalesce("body", F.lit("")), r"[\s\x{200E}\x{200F}\x{A0}]+", ""))
+    id_ = F.regexp_extract("path", r"(\d+)\.", 1).cast("long").alias("doc_id")
+    return extract(files).groupBy(id_, "status").agg(F.count_if(F.col("page") > 0).alias("pages"), F.sum(solid).cast("long").alias("solid"))
+
+
+@query("f01_plain_reader", r"""SELECT doc_id, CASE WHEN run >= 2000 THEN 'failed: data dump' ELSE 'ok' END AS status, CASE WHEN run >= 2000 THEN 0 ELSE length(regexp_replace(text, '\s+', '', 'g')) END AS solid
+FROM (SELECT doc_id, coalesce(text, '') AS text, list_max(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '(?i)data:\S*', '', 'g'), '\s+'), lambda x: length(x))) AS run FROM documents)""")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("lines"))
+    files = table(spark, d, "documents").select(F.concat(F.lit("/a/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    return _extracted(files).select("doc_id", "status", "solid")
+
+
+@query("f12_rich_text_reader", r"SELECT doc_id, 'ok' AS status, length(regexp_replace(coalesce(text, ''), '\s+', '', 'g')) AS solid FROM documents")
+def _(spark, d):
+    # each letter beyond ASCII as a control word with one sign in its place; those of two units have no such form here
+    escaped = F.regexp_replace(F.coalesce("text", F.lit("")), r"([\\\\{}])", r"\\\\$1")
+    units = F.transform(F.split(escaped, ""), lambda c: F.when(c.rlike(r"^[\x{80}-\x{FFFF}]$"), F.concat(F.lit("\\u"), F.ascii(c).cast("string"), F.lit("?"))).when(c == "\n", "\\par ").otherwise(c))
+    rtf = F.concat(F.lit("{\\rtf1\\ansi{\\fonttbl{\\f0 Serif;}}{\\*\\generator x;}\\uc1 "), F.array_join(units, ""), F.lit("}"))
+    files = table(spark, d, "documents").select(F.concat(F.lit("/a/"), F.col("doc_id").cast("string"), F.lit(".rtf")).alias("path"), F.encode(rtf, "UTF-8").alias("content"))
+    return _extracted(files).select("doc_id", "status", "solid")
 
 
 @query("f07_notebooks", "SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id")
@@ -242,10 +286,15 @@ def _(spark, d):
     return files.select("conv_id", notebook_text(F.col("json")).alias("body"))
 
 
-@query("f08_repeated_cues", "SELECT conv_id, turn, text FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NULL OR before <> role")
+@query("f08_subtitle_reader", """SELECT conv_id, string_agg(role, chr(10) ORDER BY turn) AS body FROM (
+SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NULL OR before <> role GROUP BY conv_id""")
 def _(spark, d):
-    before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return table(spark, d, "conversations").withColumn("before", before).where("before is null or before <> role").select("conv_id", "turn", "text")
+    from .sources.extract import extract
+
+    cue = F.concat(F.col("turn").cast("string"), F.lit("\n00:00:01,000 --> 00:00:02,000\n<i>"), "role", F.lit("</i>\n"))
+    cues = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", cue.alias("cue")))).alias("cues"))
+    files = cues.select(F.concat("conv_id", F.lit(".srt")).alias("path"), F.encode(F.array_join(F.transform("cues", lambda x: x["cue"]), "\n"), "UTF-8").alias("content"))
+    return extract(files).select(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("conv_id"), "body")
 
 
 @query("f20_notes_by_deck", """SELECT deck, CAST(volume AS BIGINT) AS volume, count(*) AS n, min(conv_id) AS first, max(conv_id) AS last FROM (
@@ -329,7 +378,12 @@ def _(spark, d):
 @query("o04_queue_order", f"{_QUEUE} SELECT doc_id, page, row_number() OVER (ORDER BY prio, attempts, l, doc_id DESC, page) AS place FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS l FROM queue)", derived=True)
 def _(spark, d):
     own = _queue(spark, d).withColumn("l", F.count("*").over(Window.partitionBy("doc_id")))
-    return own.select("doc_id", "page", F.row_number().over(Window.orderBy("prio", "attempts", "l", F.desc("doc_id"), "page")).cast("long").alias("place"))
+    return numbered(own, ("prio", "attempts", "l", F.desc("doc_id"), "page"), "place").select("doc_id", "page", "place")
+
+
+@query("j09_queue_of_documents", f"{_QUEUE} SELECT doc_id, page, rel_path, top_folder FROM queue JOIN docs ON id = doc_id WHERE id % 3 <> 1", derived=True)
+def _(spark, d):
+    return upkeep.queued(_queue(spark, d), corpus.docs(spark, d).where("id % 3 <> 1")).select("doc_id", "page", "rel_path", "top_folder")
 
 
 @query("x06_retry", f"""{_QUEUE}, met AS (SELECT *, CASE WHEN doc_id % 20 = 0 THEN page % 2 = 0 END AS ok FROM queue)
@@ -360,13 +414,14 @@ def _(spark, d):
 
 @query("i13_root_label", "SELECT id, CASE WHEN top_folder = 'src1' THEN 'Renamed' ELSE top_folder END AS label FROM docs", derived=True)
 def _(spark, d):
-    return corpus.docs(spark, d).select("id", F.when(F.col("top_folder") == "src1", "Renamed").otherwise(F.col("top_folder")).alias("label"))
+    return upkeep.relabelled(corpus.docs(spark, d), {"src1": "Renamed"}).select("id", F.col("top_folder").alias("label"))
 
 
-@query("i14_reread", "SELECT id, state = 3 AND ext IN ('pptx', 'pdf') OR err = 'File not found' AS reread FROM docs", derived=True)
+@query("i14_reread", "SELECT id, state = 3 AND (id % 4 = 0 AND ext IN ('pptx', 'pdf') OR id % 4 = 1 OR id % 4 = 3) AS reread FROM docs", derived=True)
 def _(spark, d):
-    supported = (F.col("state") == 3) & F.col("ext").isin("pptx", "pdf")
-    return corpus.docs(spark, d).select("id", (supported | (F.col("err") == "File not found")).alias("reread"))
+    k = F.col("id") % 4
+    err = F.when(k == 0, "Unsupported format").when(k == 1, "missing-tool:djvused").when(k == 2, "missing-tool:other").otherwise("not downloaded")
+    return corpus.docs(spark, d).withColumn("err", err).select("id", upkeep.to_reread(["PPTX", "pdf"], ["djvused"]).alias("reread"))
 
 
 @query("a15_language_vote", """SELECT conv_id AS doc_id, CASE WHEN count(*) FILTER (n = best) = 1 THEN min(role) FILTER (n = best) END AS lang FROM (
@@ -375,19 +430,17 @@ def _(spark, d):
     return ingest.language_vote(table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("role").alias("lang")))
 
 
-@query("a14_median", "SELECT event_type, list_sort(list(value))[count(*) // 2 + 1] AS median FROM events GROUP BY event_type")
+@query("a14_median", "SELECT event_type, list_sort(list(value))[count(value) // 2 + 1] AS median FROM events WHERE value IS NOT NULL GROUP BY event_type")
 def _(spark, d):
-    values = F.sort_array(F.collect_list("value"))
-    return table(spark, d, "events").groupBy("event_type").agg(F.element_at(values, (F.floor(F.count("*") / 2) + 1).cast("int")).alias("median"))
+    return upkeep.upper_median(table(spark, d, "events"), "event_type", "value")
 
 
 # --- change feeds ----------------------------------------------------------------------------------------------
 
 
-@query("x03_history_gap", "SELECT event_id, coalesce(event_id - before > 1, false) AS gap FROM (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id % 16 ORDER BY event_id) + 15 AS before FROM events)")
+@query("x03_history_gap", "SELECT event_id, coalesce(event_id - before > 16, false) AS gap FROM (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)")
 def _(spark, d):
-    before = F.lag("event_id").over(Window.partitionBy(F.col("user_id") % 16).orderBy("event_id")) + 15
-    return table(spark, d, "events").select("event_id", F.coalesce(F.col("event_id") - before > 1, F.lit(False)).alias("gap"))
+    return upkeep.history_gaps(table(spark, d, "events"), "user_id", "event_id", 16).select("event_id", "gap")
 
 
 @query("x04_affected_roots", "SELECT DISTINCT 'corpus/' || top_folder AS root FROM docs WHERE id % 37 = 0", derived=True)

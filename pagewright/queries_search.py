@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from .corpus import SQL as CORPUS
 from .corpus import bm25, frequency, index, near
-from .functions.text import deep_link, is_toc, natural_key
+from .engine import Engine
+from .functions.text import deep_link, is_toc
+from .operators import upkeep
 from .operators.index import Index
 from .operators.match import AllOf, AnyOf, AtLeast, Leaf, Matcher, Near, Phrase
+from .operators.ranks import numbered
 from .plans import parser, search
 
 RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -368,11 +371,7 @@ def _(i):
 SELECT sr.doc_id, page, CASE WHEN ext = 'pptx' AND src = 0 THEN 'slide ' || page WHEN src <> 0 THEN 'image ' || (page - coalesce(last, 0)) ELSE 'page ' || page END AS label
 FROM sr JOIN last USING (doc_id) JOIN docs ON id = sr.doc_id""")
 def _(i):
-    last = i.sources.groupBy("doc_id").agg(F.max(F.when(F.col("src") == 0, F.col("page"))).alias("last")).withColumnRenamed("doc_id", "d")
-    met = i.sources.join(last, F.col("doc_id") == F.col("d")).join(i.docs, F.col("doc_id") == F.col("id"))
-    label = F.when((F.col("ext") == "pptx") & (F.col("src") == 0), F.concat(F.lit("slide "), F.col("page")))
-    label = label.when(F.col("src") != 0, F.concat(F.lit("image "), F.col("page") - F.coalesce("last", F.lit(0)))).otherwise(F.concat(F.lit("page "), F.col("page")))
-    return met.select("doc_id", "page", label.alias("label"))
+    return upkeep.page_labels(i.sources, i.docs)
 
 
 # --- filters, facets, counts -----------------------------------------------------------------------------------
@@ -402,10 +401,26 @@ _filter_query("p10_name_exclusion", "NOT contains(rel_path, '/fr/')", "-name:fr"
 _filter_query("p14_served_scope", "top_folder IN ('src1', 'src4') AND ext = 'md'", "ext:md", served=("src1", "src4"))
 
 
-@query("p15_unknown_documents", "SELECT x AS doc_id FROM (SELECT unnest([1, 2, 10000000]) AS x) WHERE x NOT IN (SELECT id FROM docs)")
+_filter_query("p16_under_root", "starts_with(rel_path, 'corpus/src1/e')", "", under="corpus/src1/e")
+
+
+@query("p15_unknown_values", """SELECT 'document' AS kind, CAST(x AS VARCHAR) AS value FROM (SELECT unnest([1, 2, 10000000]) AS x) WHERE x NOT IN (SELECT id FROM docs)
+UNION ALL SELECT 'language', x FROM (SELECT unnest(['fr', 'xx', 'und']) AS x) WHERE x NOT IN (SELECT coalesce(lower(lang), 'und') FROM docs)""")
+def _(i):
+    unknown = search.unknown_values(i, search.Options(langs=("FR", "xx", "und"), doc_ids=(1, 2, 10000000)))
+    return i.docs.sparkSession.createDataFrame([(k, str(x)) for k, own in unknown.items() for x in own], "kind string, value string")
+
+
+@query("p14_served_engine", "SELECT (SELECT count(*) FROM docs WHERE top_folder = 'src1') AS documents, (SELECT count(*) FROM pages JOIN docs ON id = doc_id WHERE top_folder = 'src1') AS pages, (SELECT count(*) FROM (SELECT DISTINCT unnest(t) FROM toks JOIN docs ON id = doc_id WHERE top_folder = 'src1')) AS terms")
+def _(i):
+    own = Engine(i, ("SRC1",))
+    status = own.status()
+    return own.index.vocab.agg(F.lit(status["documents"]).cast("long").alias("documents"), F.lit(status["pages"]).cast("long").alias("pages"), F.count("*").alias("terms"))
+
+
+@query("j06_names_by_provenance", "SELECT id FROM docs WHERE list_contains(regexp_extract_all(rel_path, '[a-z]+'), 'doc') AND ext = 'md' AND id IN (SELECT doc_id FROM pages JOIN page_src USING (doc_id, page) WHERE src = 3)")
 def _(i):
-    asked = i.docs.sparkSession.createDataFrame([(1,), (2,), (10000000,)], "doc_id int")
-    return asked.join(i.docs, F.col("doc_id") == F.col("id"), "left_anti")
+    return search.name_channel(i, parser.parse("doc ext:md"), search.Options(sources=(3,)), most=10**6).select("id")
 
 
 FACETED = bm25([frequency(A)], "f0 > 0")
@@ -440,42 +455,45 @@ def _(i):
 
 @query("o02_list_by_path", "SELECT id, rel_path, n_pages FROM docs WHERE top_folder = 'src2' AND state IN (1, 2) ORDER BY rel_path, id LIMIT 100")
 def _(i):
-    return i.docs.where("top_folder = 'src2' and state in (1, 2)").orderBy("rel_path", "id").limit(100).select("id", "rel_path", "n_pages")
+    return Engine(i).list_documents("path", 100, folder="src2", states=[1, 2]).select("id", "rel_path", "n_pages")
 
 
 @query("o02_list_by_pages", "SELECT id, n_pages FROM docs ORDER BY n_pages DESC, id LIMIT 50")
 def _(i):
-    return i.docs.orderBy(F.desc("n_pages"), "id").limit(50).select("id", "n_pages")
+    return Engine(i).list_documents("pages", 50).select("id", "n_pages")
 
 
 @query("o03_natural_order", "SELECT id, CAST(row_number() OVER (ORDER BY id) AS BIGINT) AS place FROM docs WHERE top_folder = 'src3' AND lang = 'en' AND ext = 'pptx'")
 def _(i):
-    from pyspark.sql import Window
-
     own = i.docs.where("top_folder = 'src3' and lang = 'en' and ext = 'pptx'")
-    return own.select("id", F.row_number().over(Window.orderBy(natural_key(F.col("rel_path")))).cast("long").alias("place"))
+    return numbered(own, upkeep.ORDERS["path"](), "place").select("id", "place")
+
+
+for _name, _order in {"newest": "mtime DESC, id", "oldest": "mtime, id", "title": "id % 5 = 2 DESC, id"}.items():
+
+    @query(f"o03_{_name}", f"SELECT id, CAST(row_number() OVER (ORDER BY {_order}) AS BIGINT) AS place FROM docs WHERE ext = 'pdf'")
+    def _(i, name=_name):
+        return numbered(i.docs.where("ext = 'pdf'"), upkeep.ORDERS[name](), "place").select("id", "place")
 
 
 @query("o06_unreadable", "SELECT id, rel_path, CASE WHEN contains(lower(err), 'password') THEN 'password' WHEN contains(lower(err), 'not found') THEN 'missing' END AS reason FROM docs WHERE state = 2 ORDER BY top_folder, rel_path, id LIMIT 200")
 def _(i):
-    from .functions.text import unreadable_reason
-
-    return i.docs.where("state = 2").orderBy("top_folder", "rel_path", "id").limit(200).select("id", "rel_path", unreadable_reason(F.col("err")).alias("reason"))
+    return upkeep.unreadable(i.docs)
 
 
 @query("o10_smallest_first", "SELECT id, size FROM docs WHERE state = 1 ORDER BY size, id LIMIT 100")
 def _(i):
-    return i.docs.where("state = 1").orderBy("size", "id").limit(100).select("id", "size")
+    return upkeep.smallest_first(i.docs, 100, state=1).select("id", "size")
 
 
 @query("p12_listing_filter", "SELECT id FROM docs WHERE contains(lower(rel_path), 'src1/e') AND ext = 'md' AND state IN (1)")
 def _(i):
-    return i.docs.where(F.contains(F.lower("rel_path"), F.lit("src1/e")) & (F.col("ext") == "md") & F.col("state").isin(1)).select("id")
+    return Engine(i)._documents(contains="SRC1/E", ext=".MD", states=[1]).select("id")
 
 
 @query("p20_without_language", "SELECT id FROM docs WHERE (lang IS NULL OR lang = '') AND state = 1 AND n_pages > 0 ORDER BY id LIMIT 300")
 def _(i):
-    return i.docs.where("(lang is null or lang = '') and state = 1 and n_pages > 0").orderBy("id").limit(300).select("id")
+    return upkeep.without_language(i.docs)
 
 
 @query("f23_page_slice", "SELECT doc_id, page, substr(body, 201, 400) AS part, CAST(length(body) AS INTEGER) AS chars FROM pages WHERE doc_id IN (3, 4, 5) AND page BETWEEN 1 AND 2")
@@ -490,12 +508,11 @@ def _(i):
     return i.pages.select("doc_id", "page", row_id(F.col("doc_id"), F.col("page")).alias("rowid"))
 
 
-@query("a06_stats", """SELECT count(*) AS documents, count(*) FILTER (state = 1) AS extracted, count(*) FILTER (state = 2) AS failed, count(*) FILTER (state = 3) AS skipped, CAST(sum(size) AS BIGINT) AS bytes,
-(SELECT count(*) FROM page_src WHERE src = 2) AS scanned, (SELECT count(*) FROM page_src WHERE src = 2 AND conf < 0.6 AND conf > 0) AS doubtful FROM docs""")
+@query("a06_stats", """SELECT count(*) AS documents, count(*) FILTER (state = 1) AS extracted, count(*) FILTER (state = 2) AS failed, count(*) FILTER (state = 3) AS skipped, CAST(sum(size) AS BIGINT) AS bytes, max(indexed_at) AS fresh, count(*) FILTER (state = 0) AS discovered,
+(SELECT count(*) FROM page_src WHERE src = 2) AS scanned, (SELECT count(*) FROM page_src WHERE src = 3) AS transcribed, (SELECT count(*) FROM page_src WHERE src = 2 AND (conf IS NULL OR conf <= 0)) AS no_lines,
+(SELECT count(*) FROM page_src WHERE src = 2 AND conf < 0.6 AND conf > 0) AS doubtful, (SELECT count(*) FROM page_src WHERE src = 2 AND conf >= 0.6) AS sure, (SELECT count(*) FROM page_src WHERE src = 2 AND doc_id % 3 = 0) AS queued FROM docs""")
 def _(i):
-    d = i.docs.agg(F.count("*").alias("documents"), *(F.count_if(F.col("state") == k).alias(x) for k, x in ((1, "extracted"), (2, "failed"), (3, "skipped"))), F.sum("size").alias("bytes"))
-    s = i.page_src.agg(F.count_if(F.col("src") == 2).alias("scanned"), F.count_if((F.col("src") == 2) & (F.col("conf") < 0.6) & (F.col("conf") > 0)).alias("doubtful"))
-    return d.crossJoin(s)  # a row each
+    return upkeep.statistics(i.docs, i.page_src, i.page_src.where("src = 2 and doc_id % 3 = 0"))
 
 
 @query("a07_freshness", "SELECT max(indexed_at) AS fresh, count(*) AS n FROM docs")
@@ -520,21 +537,19 @@ def _(i):
     return i.docs.groupBy(language_or_und(F.col("lang")).alias("lang")).agg(F.count("*").alias("n"))
 
 
-@query("a12_disk_forecast", "SELECT CAST(sum(size) AS DOUBLE) / sum(n_pages) AS bytes_per_page, CASE WHEN sum(size) / 5e6 >= 1 THEN 'over' WHEN sum(size) / 5e6 >= 0.8 THEN 'near' ELSE 'ok' END AS level FROM docs")
+@query("a12_disk_forecast", "SELECT CAST(sum(size) AS DOUBLE) / sum(n_pages) AS bytes_per_page, CAST(round(5e6 / (CAST(sum(size) AS DOUBLE) / sum(n_pages))) AS BIGINT) AS pages_at_budget, CASE WHEN sum(size) / 5e6 >= 1 THEN 'over' WHEN sum(size) / 5e6 >= 0.8 THEN 'near' ELSE 'ok' END AS level FROM docs")
 def _(i):
-    share = F.sum("size") / 5e6
-    return i.docs.agg((F.sum("size") / F.sum("n_pages")).alias("bytes_per_page"), F.when(share >= 1, "over").when(share >= 0.8, "near").otherwise("ok").alias("level"))
+    return upkeep.forecast(i.docs, 5_000_000).select("bytes_per_page", "pages_at_budget", "level")
 
 
 @query("p19_ocr_populations", "SELECT doc_id, page, CASE WHEN conf IS NULL OR conf <= 0 THEN 'noLines' ELSE 'doubtful' END AS population FROM page_src WHERE src = 2 AND (conf IS NULL OR conf < 0.6)")
 def _(i):
-    own = i.page_src.where("src = 2 and (conf is null or conf < 0.6)")
-    return own.select("doc_id", "page", F.when(F.col("conf").isNull() | (F.col("conf") <= 0), "noLines").otherwise("doubtful").alias("population"))
+    return upkeep.doubtful_pages(i.page_src).drop("conf")
 
 
 @query("o05_revisit", "SELECT doc_id, page, conf FROM page_src WHERE src = 2 AND (conf IS NULL OR conf < 0.6) ORDER BY conf NULLS FIRST, doc_id, page LIMIT 100")
 def _(i):
-    return i.page_src.where("src = 2 and (conf is null or conf < 0.6)").orderBy(F.asc_nulls_first("conf"), "doc_id", "page").limit(100).select("doc_id", "page", "conf")
+    return upkeep.to_revisit(i.page_src).drop("population")
 
 
 @query("j02_sources_default_native", "SELECT doc_id, page, coalesce(src, 0) AS src FROM pages LEFT JOIN page_src USING (doc_id, page)")
@@ -544,15 +559,13 @@ def _(i):
 
 @query("j07_no_source_and_no_page", "SELECT id FROM docs WHERE NOT EXISTS (SELECT 1 FROM page_src WHERE doc_id = id) AND NOT EXISTS (SELECT 1 FROM pages WHERE doc_id = id AND page > 1)")
 def _(i):
-    a = i.page_src.select(F.col("doc_id").alias("d"))
-    b = i.pages.where("page > 1").select(F.col("doc_id").alias("d"))
-    return i.docs.select("id").join(a, F.col("id") == F.col("d"), "left_anti").join(b, F.col("id") == F.col("d"), "left_anti")
+    return upkeep.never_read(i.docs, i.page_src, i.pages)
 
 
 @query("j11_row_values", "SELECT doc_id, page, CAST(length(body) AS INTEGER) AS n FROM pages WHERE (doc_id, page) IN (VALUES (1, 1), (2, 1), (3, 2), (999999, 1))")
 def _(i):
-    keys = i.docs.sparkSession.createDataFrame([(1, 1), (2, 1), (3, 2), (999999, 1)], "d long, p int")
-    return i.pages.join(F.broadcast(keys), (F.col("doc_id") == F.col("d")) & (F.col("page") == F.col("p")), "left_semi").select("doc_id", "page", F.length("body").alias("n"))
+    keys = i.docs.sparkSession.createDataFrame([(1, 1), (2, 1), (3, 2), (999999, 1), (1, 1)], "doc_id long, page int")
+    return upkeep.pages_at(i.pages, keys).select("doc_id", "page", F.length("body").alias("n"))
 
 
 @query("s03_intersect_subtract", f"""(SELECT doc_id FROM toks WHERE list_contains(t, '{A}') INTERSECT SELECT doc_id FROM toks WHERE list_contains(t, '{B}')) EXCEPT SELECT doc_id FROM toks WHERE list_contains(t, '{C}')""".replace("(SELECT", "x AS (SELECT 1) (SELECT", 1))
@@ -561,9 +574,12 @@ def _(i):
     return own(A).intersect(own(B)).subtract(own(C))
 
 
-@query("k07_deep_link", "SELECT id, 'pagewright://open?path=' || replace(url_encode(rel_path), '+', '%20') || '&page=1&q=' || 'a%20b%26c%2Bd' AS link FROM docs WHERE id >= 1")
+@query("k07_deep_link", """SELECT id, 'pagewright://open?' || CASE WHEN id % 4 = 0 THEN 'doc=' || id ELSE 'path=' || replace(url_encode(rel_path), '+', '%20') END || '&page=1' || CASE WHEN id % 3 > 0 THEN '&q=a%20b%26c%2Bd' ELSE '' END
+|| CASE WHEN id % 5 > 0 THEN '&t=' || id % 5 ELSE '' END AS link FROM docs""")
 def _(i):
-    return i.docs.where("id >= 1").select("id", deep_link("pagewright", F.col("rel_path"), F.lit(1), F.lit("a b&c+d")).alias("link"))
+    k = F.col("id")
+    path, words, at = F.when(k % 4 != 0, F.col("rel_path")), F.when(k % 3 > 0, "a b&c+d").otherwise(""), F.when(k % 5 > 0, k % 5).otherwise(-1)
+    return i.docs.select("id", deep_link("pagewright", path, F.lit(1), words, k, at).alias("link"))
 
 
 @query("r26_toc_probe", TOC_SQL + " SELECT doc_id, page, numbered::INT + leaders::INT + list_shape::INT >= 2 AS toc FROM signs")

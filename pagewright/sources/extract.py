@@ -30,27 +30,38 @@ class Unreadable(Exception):
     """A file that can't be read; the text says why."""
 
 
+class Skipped(Exception):
+    """A file of a kind without a reader here."""
+
+
 #: Extensions read as plain text.
 PLAIN = frozenset(
     "txt md markdown rst tex log csv tsv json yaml yml toml ini cfg conf py js ts java c h cpp hpp cc cs go rs rb php pl sh bash zsh sql r m swift kt scala lua vim css scss less vue svelte xmlrc properties gradle cmake make mk dockerfile diff patch bib org adoc textile".split()
 )
 
 
-def decoded(data: bytes) -> str:
-    """Text of a file: by its byte order mark, else UTF-8, else Windows-1252; a NUL makes it binary."""
+def _plausible(text: str) -> bool:
+    head = text[:64_000]
+    return sum(not (x.isalnum() or x.isspace() or x.isprintable()) or x == "\ufffd" for x in head) <= 0.3 * len(head)
+
+
+def decoded(data: bytes, declared: str | None = None) -> str:
+    """Text of a file: by its byte order mark, the declared encoding where the text is plausible in it, UTF-8, then the
+    first of Windows-1252, Latin-1 and Mac Roman that is plausible; a NUL makes it binary."""
     for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
         if data.startswith(mark):
             return data.decode(name, errors="replace")
-    if b"\0" in data:
+    wide = declared is not None and declared.lower().replace("_", "-").startswith(("utf-16", "utf-32"))
+    if b"\0" in data and not wide:
         raise Unreadable("binary")
-    try:
-        return data.decode()
-    except UnicodeDecodeError:
-        text = data.decode("cp1252", errors="replace")
-    head = text[:64_000]
-    if sum(not (x.isalnum() or x.isspace() or x.isprintable()) or x == "�" for x in head) > 0.3 * len(head):
-        raise Unreadable("mojibake")
-    return text
+    for name in ([declared] if declared else []) + ([] if b"\0" in data else ["utf-8", "cp1252", "latin-1", "mac-roman"]):
+        try:
+            text = data.decode(name)
+        except (UnicodeDecodeError, LookupError):
+            continue
+        if name == "utf-8" or _plausible(text):
+            return text
+    raise Unreadable("binary" if b"\0" in data else "mojibake")
 
 
 def read_plain(data: bytes) -> tuple[str, list[str]]:
@@ -198,6 +209,92 @@ def read_xlsx(data: bytes) -> tuple[str, list[str]]:
     return "", out
 
 
+#: Groups of a rich text that hold no text of the document, and words that stand for characters.
+_ASIDE = frozenset("fonttbl colortbl stylesheet info pict header footer headerl headerr footerl footerr generator themedata listtable listoverridetable rsidtbl xmlnstbl fldinst datastore latentstyles object".split())
+_SIGNS = {"par": "\n", "line": "\n", "sect": "\n", "page": "\n", "row": "\n", "tab": "\t", "cell": "\t", "emdash": "—", "endash": "–", "lquote": "‘", "rquote": "’", "ldblquote": "“", "rdblquote": "”", "bullet": "•", "~": "\u00a0", "_": "\u2011", "-": ""}
+_RTF = re.compile(rb"\\([a-zA-Z]+)(-?\d+)? ?|\\'([0-9a-fA-F]{2})|\\([^a-zA-Z])|([{}])|([^\\{}\r\n]+)|[\r\n]+", re.S)
+
+
+def rich_text(data: bytes) -> tuple[str, str]:
+    """(title, text) of RTF: control words become characters, groups aside are left out, bytes are read by the code page."""
+    out, title, page, skip = [], [], "cp1252", 0
+    state = (None, 1)  # what a group's text goes to, and how many characters stand in for one above the code page
+    stack: list[tuple] = []
+    opened = False  # at a group's first word
+    at = 0
+
+    def put(text: str) -> None:
+        if state[0] is None:
+            out.append(text)
+        elif state[0] == "title":
+            title.append(text)
+
+    while at < len(data):
+        if (word := _RTF.match(data, at)) is None:
+            break
+        at = word.end()
+        name, number, code, sign, brace, plain = word.groups()
+        if brace == b"{":
+            stack.append(state)
+            opened, skip = True, 0
+            continue
+        if brace == b"}":
+            if not stack:
+                break
+            state, opened, skip = stack.pop(), False, 0
+            continue
+        if name is not None:
+            name = name.decode()
+            if name == "bin":
+                at += max(0, int(number or 0))
+            elif name == "ansicpg" and number:
+                page = f"cp{number.decode()}"
+                try:
+                    b"".decode(page)
+                except LookupError:
+                    page = "cp1252"
+            elif name == "uc":
+                state = (state[0], int(number or 1))
+            elif name == "u" and number:
+                put(chr(int(number) % 65536))
+                skip = state[1]
+            elif opened and name == "title":
+                state = ("title", state[1])
+            elif opened and name in _ASIDE:
+                state = ("aside", state[1])
+            elif name in _SIGNS:
+                put(_SIGNS[name])
+        elif code is not None or sign is not None:
+            if sign == b"*":
+                state = ("aside", state[1])
+            elif skip:
+                skip -= 1
+            else:
+                text = bytes.fromhex(code.decode()).decode(page, errors="replace") if code else sign.decode("latin-1")
+                put(_SIGNS.get(text, "\n" if text in "\r\n" else text) if sign else text)
+        elif plain:
+            gone = min(skip, len(plain))
+            skip -= gone
+            put(plain[gone:].decode(page, errors="replace"))
+        opened = opened and plain is None and sign == b"*"
+    joined = "".join(out).encode("utf-16", "surrogatepass").decode("utf-16", errors="replace")  # pairs become one character
+    return "".join(title).strip(), joined.strip()
+
+
+def read_rich(data: bytes) -> tuple[str, list[str]]:
+    """By the first bytes, whatever the extension: RTF, or the zipped form under an old name; the OLE form has no reader."""
+    if data.startswith(b"{\\rtf"):
+        title, text = rich_text(data)
+        if not _plausible(text):
+            raise Unreadable("mojibake")
+        return title, paginate(text)
+    if data.startswith(b"PK\x03\x04"):
+        return read_docx(data)
+    if data.startswith(b"\xd0\xcf\x11\xe0"):
+        raise Skipped("unsupported binary OLE format")
+    raise Unreadable("unrecognised format: neither OLE, RTF nor OOXML")
+
+
 def read_open_document(data: bytes) -> tuple[str, list[str]]:
     root = _parsed(_opened(data), "content.xml")
     return "", paginate("\n".join("".join(p.itertext()) for p in root.iter() if p.tag.endswith(("}p", "}h"))))
@@ -224,12 +321,12 @@ def read_epub(data: bytes) -> tuple[str, list[str]]:
 READERS: dict[str, Callable[[bytes], tuple[str, list[str]]]] = {
     **dict.fromkeys(PLAIN, read_plain), **dict.fromkeys(("html", "htm", "xhtml"), read_html), **dict.fromkeys(("xml", "xsd", "xsl", "xslt", "svg", "plist"), read_xml),
     "eml": read_mail, "emlx": read_mail, "mbox": read_mailbox, "ipynb": read_notebook, "srt": read_subtitles, "vtt": read_subtitles,
-    "docx": read_docx, "pptx": read_pptx, "xlsx": read_xlsx, "odt": read_open_document, "ods": read_open_document, "odp": read_open_document, "epub": read_epub,
+    "docx": read_docx, "pptx": read_pptx, "xlsx": read_xlsx, "odt": read_open_document, "ods": read_open_document, "odp": read_open_document, "epub": read_epub, "rtf": read_rich, "doc": read_rich,
 }
 
 #: Known kinds without a reader here, and why they are skipped.
 SKIPPED = {
-    **dict.fromkeys(("pdf", "djvu"), "needs a page renderer"), **dict.fromkeys(("doc", "rtf", "rtfd", "xls", "ppt", "pages", "numbers", "key"), "needs a converter"),
+    **dict.fromkeys(("pdf", "djvu"), "needs a page renderer"), **dict.fromkeys(("rtfd", "xls", "ppt", "pages", "numbers", "key"), "needs a converter"),
     **dict.fromkeys(("png", "jpg", "jpeg", "tif", "tiff", "heic", "gif", "bmp", "webp", "cbz", "cbr"), "needs text recognition"),
     **dict.fromkeys(("mp3", "m4a", "wav", "flac", "mp4", "mov", "mkv"), "needs transcription"),
 }
@@ -246,6 +343,8 @@ def read(path: str, data: bytes) -> tuple[str, list[str], str]:
         return "", [], "failed: too large"
     try:
         title, pages = reader(data)
+    except Skipped as e:
+        return "", [], f"skipped: {e}"
     except Unreadable as e:
         return "", [], f"failed: {e}"
     except Exception as e:  # whatever a damaged file provokes is that file's failure
