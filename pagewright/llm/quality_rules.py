@@ -4,13 +4,17 @@ Two histograms describe a document: its characters by class and its words among
 Each is compared with a reference for every language by the Jensen-Shannon distance; the nearest language counts. A
 reference is the sum of the histograms of the language's documents that pass the base rules. Texts that are too short
 to tell are not judged by a histogram, and the shorter a text is, the farther it may be.
+
+Four languages have fixed common words; every other value of `lang` with enough documents has those that occur most often
+in its own. A document of such a language is compared with its own reference too; one of a language with few documents
+is not judged by a histogram.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_or_empty, written
@@ -25,6 +29,9 @@ COMMON_WORDS = {
 #: All but the characters of each class. Beside these there are a-z, white space and the rest.
 CLASSES = ("[^A-Z]+", "[^0-9]+", r"[^.,;:!?'\"()\-]+", r"[^#*$%&|<>=+_~^@/\\{}\[\]]+", r"[\x00-\x7F]+")
 
+#: Other languages are learned from so many documents that pass the base rules at least; so many words are common ones.
+MIN_DOCUMENTS, LEARNED_WORDS = 50, 30
+
 MIN_WORDS = 50
 #: A histogram judges texts with so many characters or words at least.
 MIN_CHARS_JUDGED, MIN_WORDS_JUDGED = 200, 50
@@ -42,7 +49,7 @@ def _total(column: Column) -> Column:
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The base counts and both histograms of each row."""
+    """The base counts and both histograms of each row; `other`: the words of a text of another language."""
     common = vocabulary()
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), lang.alias("lang"), text_or_empty(text_col).alias("text"))
@@ -59,7 +66,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         F.length("text").cast("long").alias("n_chars"), F.length("rest").cast("long").alias("n_rest"),
         *(F.length(F.regexp_replace("rest", x, "")).cast("long").alias(f"c{k}") for k, x in enumerate(CLASSES)),
         *(times(w).cast("long").alias(f"v{k}") for k, w in enumerate(common)),
-        "h",
+        "h", F.when(_other("lang"), F.col("w")).alias("other"),
     )
     marked = counted.withColumn("repeats", F.size(F.array_distinct("h")) < F.size("h"))
     placed = marked.withColumn("z", F.when(F.col("repeats"), F.sort_array(F.transform("h", lambda x, k: F.struct(x.alias("h"), k.alias("k"))))))
@@ -74,10 +81,14 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         "id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_chars",
         F.when(F.col("repeats"), covered).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
         F.concat(classes, F.array(F.col("n_chars") - _total(classes))).alias("classes"),
-        F.concat(words, F.array(F.col("n_words") - _total(words))).alias("words"),
+        F.concat(words, F.array(F.col("n_words") - _total(words))).alias("words"), "other",
     )
 
 
+def _other(lang: str) -> Column:
+    return F.coalesce(~F.col(lang).isin(list(COMMON_WORDS)), F.lit(False))
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
@@ -100,10 +111,30 @@ def references(rows: DataFrame) -> dict[str, tuple[list[int], list[int]]]:
     return out
 
 
-def distance(counts: Column, total: Column, reference: list[int]) -> Column:
-    """Jensen-Shannon distance, base 2, between a histogram and a reference; 1 for an empty histogram. total: a column."""
-    whole = float(sum(reference)) or 1.0
-    shares = F.array(*(F.lit(x / whole) for x in reference))
+def learned(rows: DataFrame) -> DataFrame:
+    """(of, own, own_words, own_chars): for each other language with enough documents its common words, most frequent
+    first, ties by the word, their shares and the rest's, and the shares of its classes of characters."""
+    n = len(CLASSES) + 3
+    good = rows.where(_other("lang") & ~base_failed())
+    sums = good.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("docs"), F.sum("n_words").alias("whole"), *(F.sum(F.col("classes")[k]).alias(f"c{k}") for k in range(n)))
+    counts = good.select(F.col("lang").alias("_of"), F.explode("other").alias("w")).groupBy("_of", "w").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("_of").orderBy(F.desc("n"), "w"))
+    tops = counts.withColumn("k", place).where(F.col("k") <= LEARNED_WORDS).groupBy("_of").agg(F.sort_array(F.collect_list(F.struct("k", "w", "n"))).alias("top"))
+    met = sums.where(F.col("docs") >= MIN_DOCUMENTS).join(tops, F.col("of") == F.col("_of"))
+    own = F.transform("top", lambda x: x["n"])
+    chars = F.array(*(F.col(f"c{k}") for k in range(n)))
+    share = lambda x, whole: F.transform(x, lambda c: c / whole)
+    return met.select("of", F.transform("top", lambda x: x["w"]).alias("own"), share(F.concat(own, F.array(F.col("whole") - _total(own))), F.col("whole")).alias("own_words"), share(chars, _total(chars)).alias("own_chars"))
+
+
+def distance(counts: Column, total: Column, reference: list[int] | Column) -> Column:
+    """Jensen-Shannon distance, base 2, between a histogram and a reference; 1 for an empty histogram. total: a column.
+    The reference is a histogram, or a column of shares."""
+    if isinstance(reference, Column):
+        shares = reference
+    else:
+        whole = float(sum(reference)) or 1.0
+        shares = F.array(*(F.lit(x / whole) for x in reference))
     term = lambda p, q: F.when(p == 0, q).when(q == 0, p).otherwise(p * F.log2(2 * p / (p + q)) + q * F.log2(2 * q / (p + q)))
     terms = F.zip_with(counts, shares, lambda n, q: term(n / total, q))
     divergence = F.aggregate(terms, F.lit(0.0).cast("double"), lambda a, x: a + x) / 2
@@ -120,14 +151,21 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     A row for each row of docs. Null and empty texts have counts 0 and fail the base rules. With no reference (no
     document of a known language passes the base rules) only the base rules judge, and the distances are null. A
-    missing or null lang column takes part in no reference. Other columns of docs are not read.
+    missing or null lang column takes part in no reference, and such a row is compared with the four languages. Other
+    columns of docs are not read.
     """
     rows = written(measured(docs, id_col, text_col, lang_col), "measured")
     known = references(rows)
-    least = lambda x: F.least(*x) if len(x) > 1 else x[0] if x else F.lit(None).cast("double")
-    chars = least([distance(F.col("classes"), F.col("n_chars"), known[x][0]) for x in known])
-    words = least([distance(F.col(f"words_{x}"), F.col("n_words"), known[x][1]) for x in known])
-    rows = rows.withColumns({f"words_{x}": _own_counts(x) for x in known})
+    none = F.lit(None).cast("double")
+    least = lambda x: F.least(*x, none, none)
+    met = rows.join(learned(rows), F.col("lang") == F.col("of"), "left")
+    hits = F.transform("own", lambda w: F.size(F.filter("other", lambda x: x == w)).cast("long"))
+    own_counts = F.concat(hits, F.array(F.col("n_words") - _total(hits)))
+    told = ~_other("lang") | F.col("of").isNotNull()
+    own = lambda counts, total, shares: F.when(F.col("of").isNotNull(), distance(counts, F.col(total), F.col(shares)))
+    chars = F.when(told, least([distance(F.col("classes"), F.col("n_chars"), known[x][0]) for x in known] + [own(F.col("classes"), "n_chars", "own_chars")]))
+    words = F.when(told, least([distance(F.col(f"words_{x}"), F.col("n_words"), known[x][1]) for x in known] + [own(F.col("own_counts"), "n_words", "own_words")]))
+    rows = met.withColumns({**{f"words_{x}": _own_counts(x) for x in known}, "own_counts": own_counts})
     far = (F.col("n_chars") >= MIN_CHARS_JUDGED) & (F.col("chars_distance") > CHARS_LIMIT + CHARS_SLACK / F.sqrt("n_chars"))
     odd = (F.col("n_words") >= MIN_WORDS_JUDGED) & (F.col("words_distance") > WORDS_LIMIT + WORDS_SLACK / F.sqrt("n_words"))
     verdict = rows.withColumns({"chars_distance": chars, "words_distance": words}).withColumn("failed", base_failed())
@@ -145,10 +183,12 @@ def oracle_sql() -> str:
     classes += [f"length(regexp_replace(text, '{x.replace(chr(39), chr(39) * 2)}', '', 'g'))" for x in CLASSES]
     languages = list(COMMON_WORDS)
 
-    def jsd(counts: str, total: str, shares: str, size: int) -> str:
+    told = f"(lang IS NULL OR lang IN ({', '.join(repr(x) for x in languages)}) OR of IS NOT NULL)"
+
+    def jsd(counts: str, total: str, shares: str, size: int | str) -> str:
         p, q = f"({counts}[i] / CAST({total} AS DOUBLE))", f"{shares}[i]"
         term = f"CASE WHEN {p} = 0 THEN {q} WHEN {q} = 0 THEN {p} ELSE {p} * log2(2 * {p} / ({p} + {q})) + {q} * log2(2 * {q} / ({p} + {q})) END"
-        return f"CASE WHEN {total} > 0 THEN sqrt(greatest(list_sum(list_transform(range(1, {size + 1}), lambda i: {term})) / 2, 0)) ELSE 1 END"
+        return f"CASE WHEN {shares}[1] IS NULL THEN NULL WHEN {total} > 0 THEN sqrt(greatest(list_sum(list_transform(range(1, {size} + 1), lambda i: {term})) / 2, 0)) ELSE 1 END"
 
     refs, chars, words, lists = [], [], [], []
     for x in languages:
@@ -190,16 +230,32 @@ counted AS (
   SELECT *, n_chars - {" - ".join(f"c{k}" for k in range(n - 1))} AS c{n - 1} FROM split
 ),
 {", ".join(refs)},
+other AS (
+  SELECT doc_id, lang AS of, n_words, h, {", ".join(f"c{k}" for k in range(n))} FROM counted WHERE lang NOT IN ({", ".join(f"'{x}'" for x in languages)}) AND NOT base_failed
+),
+tops AS (
+  SELECT of, list(w ORDER BY n DESC, w) AS own, list(n ORDER BY n DESC, w) AS times FROM (
+    SELECT of, w, count(*) AS n FROM (SELECT of, unnest(w) AS w FROM other JOIN cut USING (doc_id)) GROUP BY of, w QUALIFY row_number() OVER (PARTITION BY of ORDER BY n DESC, w) <= {LEARNED_WORDS}
+  ) GROUP BY of
+),
+learned AS (
+  SELECT of, own, list_transform(list_append(times, whole - list_sum(times)), lambda s: s / whole) AS own_words, list_transform(sums, lambda s: s / list_sum(sums)) AS own_chars
+  FROM (SELECT of, count(*) AS docs, sum(n_words) AS whole, [{", ".join(f"sum(c{k})" for k in range(n))}] AS sums FROM other GROUP BY of) JOIN tops USING (of) WHERE docs >= {MIN_DOCUMENTS}
+),
+hits AS (
+  SELECT *, list_transform(own, lambda w: coalesce(h[w], 0)) AS own_hits FROM counted LEFT JOIN learned ON lang = of
+),
 listed AS (
-  SELECT *, [{", ".join(f"c{k}" for k in range(n))}] AS chars, {", ".join(lists)} FROM counted, {", ".join(f"ref_{x}" for x in languages)}
+  SELECT * EXCLUDE (h), CASE WHEN of IS NOT NULL THEN list_append(own_hits, n_words - list_sum(own_hits)) END AS own_counts, [{", ".join(f"c{k}" for k in range(n))}] AS chars, {", ".join(lists)} FROM hits, {", ".join(f"ref_{x}" for x in languages)}
 ),
 judged AS (
-  SELECT *, least({", ".join(chars)}) AS chars_distance, least({", ".join(words)}) AS words_distance FROM listed
+  SELECT *, CASE WHEN {told} THEN least({", ".join(chars)}, CASE WHEN of IS NOT NULL THEN {jsd("chars", "n_chars", "own_chars", n)} END) END AS chars_distance,
+         CASE WHEN {told} THEN least({", ".join(words)}, CASE WHEN of IS NOT NULL THEN {jsd("own_counts", "n_words", "own_words", "len(own_counts)")} END) END AS words_distance FROM listed
 )
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
        NOT base_failed
-       AND NOT (n_chars >= {MIN_CHARS_JUDGED} AND chars_distance > {CHARS_LIMIT} + {CHARS_SLACK} / sqrt(n_chars))
-       AND NOT (n_words >= {MIN_WORDS_JUDGED} AND words_distance > {WORDS_LIMIT} + {WORDS_SLACK} / sqrt(n_words)) AS kept
+       AND NOT coalesce(n_chars >= {MIN_CHARS_JUDGED} AND chars_distance > {CHARS_LIMIT} + {CHARS_SLACK} / sqrt(n_chars), false)
+       AND NOT coalesce(n_words >= {MIN_WORDS_JUDGED} AND words_distance > {WORDS_LIMIT} + {WORDS_SLACK} / sqrt(n_words), false) AS kept
 FROM judged
 """

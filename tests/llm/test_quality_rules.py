@@ -63,3 +63,45 @@ def test_without_references_and_empty(spark):
     assert q.judge(spark.createDataFrame([], SCHEMA)).collect() == []
     got = q.judge(frame(spark, rows_of_prose()).drop("lang")).collect()
     assert all(r.words_distance is None and r.kept == (not r.base_failed) for r in got)
+
+
+def rows_of_other_languages():
+    rng = random.Random(8)
+    small = {"it": "il che di la per un sono con non una del si da come gli".split(), "ru": "и в не на я что он с как это по но из у за".split()}
+    letters = {"it": "aeiorstnlcd", "ru": "абвгдеиклмнопрст"}
+
+    def text(lang, n):
+        return " ".join(rng.choice(small[lang]) if rng.random() < 0.4 else "".join(rng.choice(letters[lang]) for _ in range(rng.randint(3, 9))) for _ in range(n))
+
+    rows = [(1000 + k, text(lang, rng.randint(80, 300)), lang, "s", 1) for k, lang in enumerate(["it", "ru"] * 60)]
+    rows += [(2000 + k, text("ru", 150), "bg", "s", 1) for k in range(3)]  # too few to learn from
+    rows += [(3000 + k, " ".join(f"{w}#*$%" for w in text("it", 120).split()), "it", "s", 1) for k in range(3)]
+    return [*rows, (4000, "", "it", "s", 1), (4001, None, "ru", "s", 1), (4002, text("it", 60), "", "s", 1)]
+
+
+def test_every_language_has_its_own_reference(spark, tmp_path):
+    import duckdb
+
+    rows = rows_of_prose() + rows_of_other_languages()
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents")
+    docs = spark.read.parquet(f"{tmp_path}/documents")
+    got = {r.doc_id: r for r in q.judge(docs).collect()}
+    assert all(got[k].kept for k in (*range(1000, 1120), *range(2000, 2003), 4002))
+    assert not any(got[k].kept for k in (*range(3000, 3003), 4000, 4001, 100, 200))
+    assert got[2000].words_distance is None and got[1000].words_distance < 0.4 > got[1001].words_distance
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    want = con.execute(q.oracle_sql()).fetchall()
+    assert sorted(want) == sorted((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in got.values())
+
+
+def test_learned_words_against_a_plain_count(spark):
+    rows = rows_of_other_languages()
+    got = {r.of: r for r in q.learned(q.measured(frame(spark, rows))).collect()}
+    assert set(got) == {"it", "ru"}
+    for lang in got:
+        texts = [r[1] for r in rows if r[2] == lang and not base(r[1])[-1]]
+        words = Counter(w for t in texts for w in re.findall(f"[^{WHITE}]+", t))
+        top = sorted(words.items(), key=lambda x: (-x[1], x[0].encode()))[: q.LEARNED_WORDS]
+        assert got[lang].own == [w for w, _ in top]
+        assert abs(sum(got[lang].own_words) - 1) < 1e-9 and abs(got[lang].own_words[0] - top[0][1] / sum(words.values())) < 1e-12
