@@ -14,20 +14,37 @@ SMALL_WORDS = {
     "fr": ("les", "des", "est", "dans", "une", "qui", "pour", "que", "sur", "par", "pas", "sont"),
     "de": ("der", "die", "und", "das", "nicht", "mit", "ein", "eine", "ist", "auf", "den", "von"),
     "es": ("los", "las", "una", "por", "con", "para", "como", "del", "pero", "sus", "y", "el"),
+    "it": ("il", "che", "della", "di", "sono", "gli", "nel", "anche", "alla", "dei", "questo", "con"),
+    "pt": ("os", "uma", "nao", "em", "com", "dos", "mais", "foi", "ao", "pela", "sao", "para"),
+    "nl": ("het", "een", "van", "niet", "zijn", "dat", "voor", "met", "ook", "werd", "naar", "wordt"),
+    "sv": ("och", "att", "det", "som", "inte", "av", "ar", "med", "for", "till", "den", "har"),
+    "pl": ("nie", "sie", "na", "jest", "ze", "do", "oraz", "przez", "jak", "ktore", "byl", "dla"),
 }
+#: Scripts that stand for one language here; the first whose letters are half of all counts.
+SCRIPTS = (
+    ("ja", r"[\p{IsHiragana}\p{IsKatakana}]", 0.1), ("zh", r"\p{IsHan}", 0.5), ("ko", r"\p{IsHangul}", 0.5), ("uk", r"[іїєґІЇЄҐ]", 0.03), ("ru", r"\p{IsCyrillic}", 0.5),
+    ("el", r"\p{IsGreek}", 0.5), ("ar", r"\p{IsArabic}", 0.5), ("he", r"\p{IsHebrew}", 0.5), ("th", r"\p{IsThai}", 0.5),
+)
 MIN_CHARS, MIN_SHARE = 40, 0.5
 
 _HEAD = r"(?im)^(from|to|cc|subject|date|reply-to|message-id|de|à|objet):.*$"
 
 
 def detected(text: Column) -> Column:
-    """The language with half of the small words or more, in a text of 40 characters or more."""
+    """The language of the script, or else the one with half of the small words or more, in a text of 40 characters or more."""
     body = F.regexp_replace(text, _HEAD, "")
     words = tokens(body)
     counts = F.array(*(F.struct(F.size(F.filter(words, _among(own))).alias("n"), F.lit(lang).alias("lang")) for lang, own in SMALL_WORDS.items()))
     total = F.aggregate(counts, F.lit(0), lambda a, x: a + x["n"])
     best = F.array_max(counts)
-    return F.when((F.length(F.trim(body)) >= MIN_CHARS) & (best["n"] > 0) & (best["n"] / total >= MIN_SHARE), best["lang"])
+    letters = F.regexp_replace(body, r"\P{L}+", "")
+    by_script = F.lit(None).cast("string")
+    for lang, script, share in reversed(SCRIPTS):
+        own = F.length(letters) - F.length(F.regexp_replace(letters, script, ""))
+        by_script = F.when(own >= share * F.length(letters), lang).otherwise(by_script)
+    foreign = body.rlike(r"[^\x00-\x{36F}]") & (F.length(letters) > 0)
+    said = F.when((best["n"] > 0) & (best["n"] / total >= MIN_SHARE), best["lang"])
+    return F.when(F.length(F.trim(body)) >= MIN_CHARS, F.coalesce(F.when(foreign, by_script), said))
 
 
 def _among(words: tuple[str, ...]):

@@ -8,12 +8,14 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """spark.checkpoint.dir, or a folder of our own where that is unset: on this machine, so under a local master only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not held.isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagewright-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return held.get()
