@@ -31,6 +31,8 @@ CLASSES = ("[^A-Z]+", "[^0-9]+", r"[^.,;:!?'\"()\-]+", r"[^#*$%&|<>=+_~^@/\\{}\[
 
 #: Other languages are learned from so many documents that pass the base rules at least; so many words are common ones.
 MIN_DOCUMENTS, LEARNED_WORDS = 50, 30
+#: Learned languages that are sent to every task at most: some 10 MB.
+MOST_SENT = 10_000
 
 MIN_WORDS = 50
 #: A histogram judges texts with so many characters or words at least.
@@ -127,6 +129,15 @@ def learned(rows: DataFrame) -> DataFrame:
     return met.select("of", F.transform("top", lambda x: x["w"]).alias("own"), share(F.concat(own, F.array(F.col("whole") - _total(own))), F.col("whole")).alias("own_words"), share(chars, _total(chars)).alias("own_chars"))
 
 
+def _with_learned(rows: DataFrame) -> DataFrame:
+    """rows with the columns of learned, null where a row's language has none. Rows of the four languages meet nothing; the
+    others meet a table that is counted first and sent out where it is small, else by a join that AQE may split."""
+    table = written(learned(rows), "learned")
+    side = F.broadcast(table) if table.count() <= MOST_SENT else table
+    rest = rows.where(~_other("lang")).select("*", *(F.lit(None).cast(x.dataType).alias(x.name) for x in table.schema))
+    return rest.unionByName(rows.where(_other("lang")).join(side, F.col("lang") == F.col("of"), "left"))
+
+
 def distance(counts: Column, total: Column, reference: list[int] | Column) -> Column:
     """Jensen-Shannon distance, base 2, between a histogram and a reference; 1 for an empty histogram. total: a column.
     The reference is a histogram, or a column of shares."""
@@ -158,7 +169,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     known = references(rows)
     none = F.lit(None).cast("double")
     least = lambda x: F.least(*x, none, none)
-    met = rows.join(learned(rows), F.col("lang") == F.col("of"), "left")
+    met = _with_learned(rows)
     hits = F.transform("own", lambda w: F.size(F.filter("other", lambda x: x == w)).cast("long"))
     own_counts = F.concat(hits, F.array(F.col("n_words") - _total(hits)))
     told = ~_other("lang") | F.col("of").isNotNull()
