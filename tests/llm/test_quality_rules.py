@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 from pagewright.llm import quality_rules as q
+from pagewright.llm.common import written
 
 from .fixtures import SCHEMA, documents, frame
 
@@ -97,7 +98,7 @@ def test_every_language_has_its_own_reference(spark, tmp_path):
 
 def test_learned_words_against_a_plain_count(spark):
     rows = rows_of_other_languages()
-    got = {r.of: r for r in q.learned(q.measured(frame(spark, rows))).collect()}
+    got = {r.of: r for r in q.learned(written(q.measured(frame(spark, rows)), "measured")).collect()}
     assert set(got) == {"it", "ru"}
     for lang in got:
         texts = [r[1] for r in rows if r[2] == lang and not base(r[1])[-1]]
