@@ -21,19 +21,14 @@ from pyspark.sql import functions as F
 
 from ..functions.html import collapsed, html_text
 from ..functions.pagination import PAGES, paginate, within_budget
+from . import office97
+from .cells import Formats
+from .refusals import Skipped, Unreadable
 
 MAX_BYTES = 2 * 1024**3
 PAGE_FIELDS = "path string, page int, body string, title string, status string"
 
 
-class Unreadable(Exception):
-    """A file that can't be read; the text says why."""
-
-
-class Skipped(Exception):
-    """A file of a kind without a reader here."""
-
-
 #: Extensions read as plain text.
 PLAIN = frozenset(
     "txt md markdown rst tex log csv tsv json yaml yml toml ini cfg conf py js ts java c h cpp hpp cc cs go rs rb php pl sh bash zsh sql r m swift kt scala lua vim css scss less vue svelte xmlrc properties gradle cmake make mk dockerfile diff patch bib org adoc textile".split()
@@ -196,6 +191,8 @@ def read_xlsx(data: bytes) -> tuple[str, list[str]]:
     shared = []
     if "xl/sharedStrings.xml" in names:
         shared = ["".join(t.text or "" for t in s.iter() if t.tag.endswith("}t")) for s in _parsed(archive, "xl/sharedStrings.xml") if s.tag.endswith("}si")]
+    held = {x: archive.read(x) for x in ("xl/styles.xml", "xl/workbook.xml") if x in names}
+    formats = Formats.of(held.get("xl/styles.xml"), held.get("xl/workbook.xml"))
     out = []
     for sheet in sorted((x for x in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", x)), key=_natural):
         rows = []
@@ -203,7 +200,11 @@ def read_xlsx(data: bytes) -> tuple[str, list[str]]:
             cells = []
             for c in row:
                 value = next((x.text or "" for x in c if x.tag.endswith("}v")), "".join(t.text or "" for t in c.iter() if t.tag.endswith("}t")))
-                cells.append(shared[int(value)] if c.get("t") == "s" and value.isdigit() and int(value) < len(shared) else value)
+                if c.get("t") == "s" and value.isdigit() and int(value) < len(shared):
+                    value = shared[int(value)]
+                elif c.get("t", "n") == "n":
+                    value = formats.text(value, c.get("s"))
+                cells.append(value)
             rows.append("\t".join(cells))
         out.append("\n".join(rows))
     return "", out
@@ -282,7 +283,7 @@ def rich_text(data: bytes) -> tuple[str, str]:
 
 
 def read_rich(data: bytes) -> tuple[str, list[str]]:
-    """By the first bytes, whatever the extension: RTF, or the zipped form under an old name; the OLE form has no reader."""
+    """By the first bytes, whatever the extension: RTF, the OLE form, or the zipped form under an old name."""
     if data.startswith(b"{\\rtf"):
         title, text = rich_text(data)
         if not _plausible(text):
@@ -290,11 +291,27 @@ def read_rich(data: bytes) -> tuple[str, list[str]]:
         return title, paginate(text)
     if data.startswith(b"PK\x03\x04"):
         return read_docx(data)
-    if data.startswith(b"\xd0\xcf\x11\xe0"):
-        raise Skipped("unsupported binary OLE format")
+    if data.startswith(office97.MAGIC[:4]):
+        text = office97.document_text(data)
+        if not _plausible(text):
+            raise Unreadable("mojibake")
+        return "", paginate(text)
     raise Unreadable("unrecognised format: neither OLE, RTF nor OOXML")
 
 
+def _plausible_pages(texts: list[str]) -> list[str]:
+    """Pages of the texts in order; one that isn't plausible leaves an empty page, the others stay."""
+    return [page for x in texts for page in paginate(x if _plausible(x) else "")]
+
+
+def read_old_workbook(data: bytes) -> tuple[str, list[str]]:
+    return "", _plausible_pages(office97.workbook_pages(data))
+
+
+def read_old_slides(data: bytes) -> tuple[str, list[str]]:
+    return "", _plausible_pages(office97.slide_pages(data))
+
+
 def read_open_document(data: bytes) -> tuple[str, list[str]]:
     root = _parsed(_opened(data), "content.xml")
     return "", paginate("\n".join("".join(p.itertext()) for p in root.iter() if p.tag.endswith(("}p", "}h"))))
@@ -322,11 +339,12 @@ READERS: dict[str, Callable[[bytes], tuple[str, list[str]]]] = {
     **dict.fromkeys(PLAIN, read_plain), **dict.fromkeys(("html", "htm", "xhtml"), read_html), **dict.fromkeys(("xml", "xsd", "xsl", "xslt", "svg", "plist"), read_xml),
     "eml": read_mail, "emlx": read_mail, "mbox": read_mailbox, "ipynb": read_notebook, "srt": read_subtitles, "vtt": read_subtitles,
     "docx": read_docx, "pptx": read_pptx, "xlsx": read_xlsx, "odt": read_open_document, "ods": read_open_document, "odp": read_open_document, "epub": read_epub, "rtf": read_rich, "doc": read_rich,
+    "xls": read_old_workbook, "ppt": read_old_slides,
 }
 
 #: Known kinds without a reader here, and why they are skipped.
 SKIPPED = {
-    **dict.fromkeys(("pdf", "djvu"), "needs a page renderer"), **dict.fromkeys(("rtfd", "xls", "ppt", "pages", "numbers", "key"), "needs a converter"),
+    **dict.fromkeys(("pdf", "djvu"), "needs a page renderer"), **dict.fromkeys(("rtfd", "pages", "numbers", "key"), "needs a converter"),
     **dict.fromkeys(("png", "jpg", "jpeg", "tif", "tiff", "heic", "gif", "bmp", "webp", "cbz", "cbr"), "needs text recognition"),
     **dict.fromkeys(("mp3", "m4a", "wav", "flac", "mp4", "mov", "mkv"), "needs transcription"),
 }

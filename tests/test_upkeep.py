@@ -68,7 +68,7 @@ def test_rich_text_by_its_first_bytes():
         assert x.read(name, RTF) == ("My title", ["Café 荬 bold\nline two{x}\tend😀"], "ok")
     assert x.read("a.rtf", b"{\\rtf1 " + b"{" * 50 + b"deep" + b"}" * 60 + b" after")[1] == ["deep"]
     assert x.read("a.rtf", b"{\\rtf1\\bin3 {{{text\\uc2\\u233??!}")[1] == ["texté!"]
-    assert x.read("a.doc", b"\xd0\xcf\x11\xe0....")[2] == "skipped: unsupported binary OLE format" and x.read("a.rtf", b"plain")[2].startswith("failed: unrecognised")
+    assert x.read("a.doc", b"\xd0\xcf\x11\xe0....")[2] == "failed: corrupt: no OLE file" and x.read("a.rtf", b"plain")[2].startswith("failed: unrecognised")
     assert x.read("a.rtf", b"{\\rtf1}")[2] == "ok" and x.read("a.rtf", b"")[2].startswith("failed")
 
 
