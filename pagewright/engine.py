@@ -185,6 +185,7 @@ class Engine:
         offset = paging.decode(cursor, arguments) if cursor else 0
         found = self.search(text, limit=min(50, limit) + 1, offset=offset, snippets=True, **more)
         rows = [r.asDict() for r in found.hits.orderBy("rank").collect()]
+        found.release()
         more_left, rows = len(rows) > min(50, limit), rows[: min(50, limit)]
         text_of = lambda own, n: repr([{**r, "snippet": (r.get("snippet") or "")[:n]} for r in own])
         _, n, chars = paging.fit(rows, text_of, max(80, min(800, snippet_chars)))

@@ -1,7 +1,8 @@
 """Search: a query string, filters and switches become a chain of DataFrames.
 
 Ranking works on keys and scores; paths and texts are joined to the rows that are returned. Counts decide between the
-strict query, the quorum and the fuzzy fallback; each of them is one action over postings.
+strict query, the quorum and the fuzzy fallback. What matches is written once, keys and scores alone, to the shared folder:
+counts, layers and the answer read it there, so that postings are shuffled once for each of these searches.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from math import ceil, log
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.text import document_name, fold, fold_word, is_toc, language_or_und, tokens, tokens_of
 from ..operators.index import Index
 from ..operators.match import AllOf, AnyOf, Matcher, Near, Phrase
+from ..storage import remove, shared_dir
 from . import parser
 from .parser import ParsedQuery
 
@@ -52,7 +55,8 @@ class Options:
 
 @dataclass
 class Result:
-    """hits: doc_id, page, r, fz (and rank). Totals are of pages and documents; approximate beyond the threshold."""
+    """hits: doc_id, page, r, fz (and rank). Totals are of pages and documents; approximate beyond the threshold.
+    folder: where what matched is written; hits are read from there until it is released."""
 
     hits: DataFrame
     pages: int = 0
@@ -61,6 +65,13 @@ class Result:
     kind: str = "pages"
     flags: dict[str, bool] = field(default_factory=dict)
     advice: list[str] = field(default_factory=list)
+    folder: str | None = None
+
+    def release(self) -> None:
+        """Removes what was written for this answer, once its hits are collected or no longer wanted."""
+        if self.folder is not None:
+            remove(self.hits.sparkSession, self.folder)
+            self.folder = None
 
 
 # --- filters ---------------------------------------------------------------------------------------------------
@@ -242,14 +253,21 @@ def fuzzy_rows(index: Index, query: ParsedQuery, options: Options, exact: DataFr
 # --- the search ------------------------------------------------------------------------------------------------
 
 
-def strict_rows(index: Index, query: ParsedQuery, options: Options, node: object | None = None, flagged: ParsedQuery | None = None) -> DataFrame:
-    """(doc_id, page, r, fz) of the pages that match, boosts included."""
+def strict_rows(index: Index, query: ParsedQuery, options: Options, node: object | None = None, flagged: ParsedQuery | None = None, plain: bool = False) -> DataFrame:
+    """(doc_id, page, r, fz) of the pages that match, boosts included. plain: also r without boosts."""
     node = node or parser.condition(query, options.morphology)
     flags = boost_nodes(flagged or query, options)
     matcher = Matcher(index, [node, *(x for _, x in flags)])
     rows = filtered(index, matcher.scored(node, *flags), query, options)
-    rows = boosted(index, rows, flagged or query, options, [name for name, _ in flags])
-    return rows.select("doc_id", "page", "r", F.lit(0).alias("fz"))
+    rows = boosted(index, rows.withColumn("plain", F.col("r")), flagged or query, options, [name for name, _ in flags])
+    return rows.select("doc_id", "page", "r", F.lit(0).alias("fz"), *(["plain"] if plain else []))
+
+
+def written(rows: DataFrame, folder: str) -> DataFrame:
+    """rows, kept in a table of their own in the folder."""
+    path = f"{folder}/{uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def totals(rows: DataFrame, threshold: int = THRESHOLD) -> tuple[int, int, bool]:
@@ -266,16 +284,18 @@ def search(index: Index, text: str | ParsedQuery, options: Options | None = None
         hits = named_documents(index, query, options)
         n = hits.count()
         return Result(top(hits, options.limit, options.offset, names_order()), n, n, kind="documents")
-    rows = strict_rows(index, query, options)
+    folder = f"{shared_dir(index.docs.sparkSession)}/pagewright/search-{uuid4().hex}"
+    rows = written(strict_rows(index, query, options, plain=True), folder)
     pages, documents, approximate = totals(rows)
-    if pages >= THRESHOLD and options.boosts:  # a boost would look at every one of very many pages
+    if pages >= THRESHOLD and options.boosts:  # boosts are for answers of bounded size; they change no membership
         options = replace(options, boosts=False)
-        rows = strict_rows(index, query, options)
+        rows = rows.withColumn("r", F.col("plain"))
+    rows = rows.drop("plain")
     flags = {"quorum": False, "fuzzy": False}
     ranked = None
     relaxed = parser.quorum_condition(query.terms, options.morphology) if options.quorum and query.only_words and not query.excluded and not query.names and not options.sources else None
     if relaxed is not None and pages < parser.QUORUM_BELOW:
-        wide = strict_rows(index, query, options, relaxed, query)
+        wide = written(strict_rows(index, query, options, relaxed, query), folder)
         wide_pages, wide_documents, wide_approximate = totals(wide)
         if wide_pages > pages:
             ranked = quorum_rows(rows, wide, options, (pages, documents), (wide_pages, wide_documents))
@@ -283,13 +303,14 @@ def search(index: Index, text: str | ParsedQuery, options: Options | None = None
     wants = options.fuzzy == "on" or (options.fuzzy == "auto" and pages < FUZZY_BELOW)
     if ranked is None and wants and query.terms and query.only_words:
         scanned = options.fuzzy_scope == "all" or not index.page_src.where("src <> 0").isEmpty()
+        strict = rows
         if scanned:
             strict_pages = pages
-            rows = fuzzy_rows(index, query, options, rows)
+            rows = written(fuzzy_rows(index, query, options, strict), folder)
             pages, documents, approximate = totals(rows)
             flags["expanded"] = pages > strict_pages
         if pages == 0 and options.fuzzy_scope != "all":
-            rows = fuzzy_rows(index, query, replace(options, fuzzy_scope="all"), strict_rows(index, query, options))
+            rows = written(fuzzy_rows(index, query, replace(options, fuzzy_scope="all"), strict), folder)
             pages, documents, approximate = totals(rows)
             flags["fuzzy"] = pages > 0
     order = ("part", *ORDER) if ranked is not None else ORDER
@@ -299,7 +320,7 @@ def search(index: Index, text: str | ParsedQuery, options: Options | None = None
     if options.toc and not options.offset:
         late = hits.where(F.col("rank") > TOC_ROWS)
         hits = demoted(index, hits).drop("is_toc").unionByName(late)
-    return Result(hits, pages, documents, approximate, flags=flags)
+    return Result(hits, pages, documents, approximate, flags=flags, folder=folder)
 
 
 def quorum_rows(strict: DataFrame, wide: DataFrame, options: Options, strict_totals: tuple[int, int], wide_totals: tuple[int, int]) -> DataFrame:

@@ -21,8 +21,11 @@ def shared_dir(spark: SparkSession) -> str:
     return held.get()
 
 
+def remove(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear(spark: SparkSession) -> bool:
     """Removes what the engine and the operators have written to the shared folder. Not while results are in use."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/pagewright")
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return remove(spark, f"{shared_dir(spark)}/pagewright")

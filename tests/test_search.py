@@ -185,8 +185,12 @@ def test_search_tool_pages_through(engine):
 
 
 def test_plans_have_no_cartesian_product(engine):
-    plan = engine.search("pump valve folder:works -rotor", limit=10).hits._jdf.queryExecution().toString()
-    assert "CartesianProduct" not in plan and "PushedFilters" in plan
+    text = "pump valve folder:works -rotor"
+    read = engine.search(text, limit=10).hits, search.strict_rows(engine.index, parser.parse(text), search.Options())
+    plans = [x._jdf.queryExecution().toString() for x in read]
+    assert not any("CartesianProduct" in x for x in plans) and all("PushedFilters" in x for x in plans)
+    from_postings = [any("/postings" in f for f in x.inputFiles()) for x in read]
+    assert from_postings == [False, True]  # an answer reads what its search wrote
 
 
 def test_snippets_and_explanations():
@@ -252,6 +256,21 @@ def test_boosts_are_off_on_very_many_pages(spark, tmp_path, monkeypatch):
     assert {(r.doc_id, r.r) for r in found.hits.collect()} == {(r.doc_id, r.r) for r in plain.collect()}
 
 
+def test_what_an_answer_wrote_is_released(engine, spark):
+    from pathlib import Path
+
+    found = engine.search("pump valve", snippets=True)
+    held = Path(found.folder.removeprefix("file:"))
+    query, rows = parser.parse("pump valve"), {(r.doc_id, r.page) for r in found.hits.collect()}
+    assert held.is_dir() and rows and found.pages == search.strict_rows(engine.index, query, search.Options()).count()
+    found.release()
+    assert not held.exists() and found.folder is None
+    found.release()  # nothing is left to do
+    before = set(held.parent.glob("search-*"))
+    engine.search_tool("pump valve")
+    assert set(held.parent.glob("search-*")) == before
+
+
 def test_toc_pages_go_last(engine, spark):
     from pagewright.functions.text import is_toc
 
