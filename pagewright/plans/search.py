@@ -8,7 +8,7 @@ counts, layers and the answer read it there, so that postings are shuffled once
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
-from functools import reduce
+from functools import partial, reduce
 from math import ceil, log
 from uuid import uuid4
 
@@ -51,6 +51,8 @@ class Options:
     quorum: bool = True
     fuzzy: str = "auto"
     fuzzy_scope: str = "ocr"
+    #: Beyond THRESHOLD pages totals are approximate, boosts and diversity off; without the guard size changes nothing.
+    guard: bool = True
 
 
 @dataclass
@@ -197,8 +199,8 @@ def names_order() -> tuple[Column, ...]:
 
 
 def may_diversify(options: Options, pages: int, documents: int) -> bool:
-    """One document's pages, and very many pages, are left as they are."""
-    return options.diversity and documents != 1 and pages < THRESHOLD
+    """One document's pages, and under the guard very many pages, are left as they are."""
+    return options.diversity and documents != 1 and not (options.guard and pages >= THRESHOLD)
 
 
 def demoted(index: Index, hits: DataFrame) -> DataFrame:
@@ -270,10 +272,11 @@ def written(rows: DataFrame, folder: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def totals(rows: DataFrame, threshold: int = THRESHOLD) -> tuple[int, int, bool]:
-    """(pages, documents, approximate): counted up to the threshold."""
-    seen = rows.select("doc_id", "page").limit(threshold + 1).agg(F.count("*").alias("p"), F.countDistinct("doc_id").alias("d")).first()
-    return min(seen.p, threshold), seen.d, seen.p > threshold
+def totals(rows: DataFrame, threshold: int | None = THRESHOLD) -> tuple[int, int, bool]:
+    """(pages, documents, approximate): counted up to the threshold, or all of them."""
+    keys = rows.select("doc_id", "page")
+    seen = (keys if threshold is None else keys.limit(threshold + 1)).agg(F.count("*").alias("p"), F.countDistinct("doc_id").alias("d")).first()
+    return (seen.p, seen.d, False) if threshold is None else (min(seen.p, threshold), seen.d, seen.p > threshold)
 
 
 def search(index: Index, text: str | ParsedQuery, options: Options | None = None, **more: object) -> Result:
@@ -286,8 +289,9 @@ def search(index: Index, text: str | ParsedQuery, options: Options | None = None
         return Result(top(hits, options.limit, options.offset, names_order()), n, n, kind="documents")
     folder = f"{shared_dir(index.docs.sparkSession)}/pagewright/search-{uuid4().hex}"
     rows = written(strict_rows(index, query, options, plain=True), folder)
-    pages, documents, approximate = totals(rows)
-    if pages >= THRESHOLD and options.boosts:  # boosts are for answers of bounded size; they change no membership
+    counted = totals if options.guard else partial(totals, threshold=None)
+    pages, documents, approximate = counted(rows)
+    if options.guard and pages >= THRESHOLD and options.boosts:  # boosts are for answers of bounded size; they change no membership
         options = replace(options, boosts=False)
         rows = rows.withColumn("r", F.col("plain"))
     rows = rows.drop("plain")
@@ -296,7 +300,7 @@ def search(index: Index, text: str | ParsedQuery, options: Options | None = None
     relaxed = parser.quorum_condition(query.terms, options.morphology) if options.quorum and query.only_words and not query.excluded and not query.names and not options.sources else None
     if relaxed is not None and pages < parser.QUORUM_BELOW:
         wide = written(strict_rows(index, query, options, relaxed, query), folder)
-        wide_pages, wide_documents, wide_approximate = totals(wide)
+        wide_pages, wide_documents, wide_approximate = counted(wide)
         if wide_pages > pages:
             ranked = quorum_rows(rows, wide, options, (pages, documents), (wide_pages, wide_documents))
             pages, documents, approximate, flags["quorum"] = wide_pages, wide_documents, wide_approximate, True
@@ -307,11 +311,11 @@ def search(index: Index, text: str | ParsedQuery, options: Options | None = None
         if scanned:
             strict_pages = pages
             rows = written(fuzzy_rows(index, query, options, strict), folder)
-            pages, documents, approximate = totals(rows)
+            pages, documents, approximate = counted(rows)
             flags["expanded"] = pages > strict_pages
         if pages == 0 and options.fuzzy_scope != "all":
             rows = written(fuzzy_rows(index, query, replace(options, fuzzy_scope="all"), strict), folder)
-            pages, documents, approximate = totals(rows)
+            pages, documents, approximate = counted(rows)
             flags["fuzzy"] = pages > 0
     order = ("part", *ORDER) if ranked is not None else ORDER
     if ranked is None:

@@ -12,6 +12,8 @@ from pagewright.plans import parser, search
 
 WORDS = ["pump", "pumps", "valve", "rotor", "bearing", "seal", "heat", "loss", "flow", "steel", "catalyst", "catalysts", "étude", "Été", "the", "of", "a_b", "1512,50", "l'eau"]
 
+RANKED = ("m01_search_ranked",)
+
 
 def pages(seed=5, n=160):
     rng = random.Random(seed)
@@ -256,6 +258,33 @@ def test_boosts_are_off_on_very_many_pages(spark, tmp_path, monkeypatch):
     assert {(r.doc_id, r.r) for r in found.hits.collect()} == {(r.doc_id, r.r) for r in plain.collect()}
 
 
+def test_without_the_guard_size_changes_no_rank(spark, tmp_path, monkeypatch):
+    pages = [(1, k, "beta of alpha" + " word" * k) for k in range(1, 6)] + [(2, 1, "alpha beta" + " word" * 9), (3, 1, "beta alpha" + " word" * 9)]
+    e = Engine(small_index(spark, tmp_path, [(k, f"{k}.txt", 1.0) for k in (1, 2, 3)], pages))
+    ranks = lambda found: [(r.doc_id, r.page, r.r) for r in found.hits.orderBy("rank").collect()]
+    asked = {"fuzzy": "off", "quorum": False}
+    small = ranks(e.search("alpha beta", **asked))
+    monkeypatch.setattr(search, "THRESHOLD", 5)
+    monkeypatch.setattr(search.totals, "__defaults__", (5,))
+    whole = e.search("alpha beta", guard=False, **asked)
+    assert ranks(whole) == small and (whole.pages, whole.documents, whole.approximate) == (7, 3, False)
+    assert ranks(e.search("alpha beta", **asked)) != small
+
+
+def test_ranked_queries_do_not_depend_on_the_threshold(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as entry
+    from pagewright import corpus
+
+    texts = [(k, " ".join(["thble thtion" if k % 2 else "thtion w thble"] + ["onth"] * (k % 3) + ["word"] * k) + "\n" + "thble x thtion filler " * 900) for k in range(1, 9)]
+    spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in texts], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    seen = lambda name: [tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).orderBy("rank").collect()]
+    before = {name: seen(name) for name in RANKED}
+    monkeypatch.setattr(search, "THRESHOLD", 5)
+    monkeypatch.setattr(search.totals, "__defaults__", (5,))
+    assert {name: seen(name) for name in RANKED} == before and all(len(x) > 5 for x in before.values())
+    corpus._open.clear()
+
+
 def test_what_an_answer_wrote_is_released(engine, spark):
     from pathlib import Path
 
