@@ -30,7 +30,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of five-word shingles of 0.8: the one with the least id."""
+    """One document of each group that SimHash fingerprints of five-word shingles, then their Jaccard similarity of 0.8, link:
+    the one with the least id."""
     return near_copies.keep_one(docs, shingle=5, similarity=0.8).select(*COLUMNS)
 
 

@@ -1,9 +1,13 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies by SimHash fingerprints of word shingles, tiled exact comparison, and exact Jaccard similarity.
 
-Candidates come from MinHash: a text goes under one key for each of BANDS bands of ROWS minima, and texts under one key
-join one block, along edges whose number is linear in the texts. A block's texts are then compared exactly: sets of
-shingle hashes, in numpy, one text against all that no link has reached yet. A pair of similarity s shares no key with
-the chance (1 - s**ROWS)**BANDS: 5e-5 at 0.8, 2e-10 at 0.9. Whatever pairs share a block, all their links count.
+A text's fingerprint has the majority bits over its set of shingle hashes. Fingerprints within RADIUS bits are found by
+simhash.links, none is lost; such texts join one block. Texts of similarity 0.8 differ in some 10 bits, beyond what keys of
+64 bits can promise, so texts that share one of BANDS keys of ROWS minima join a block too, along edges whose number is
+linear in the texts: a pair of similarity s shares no key with the chance (1 - s**ROWS)**BANDS, 5e-5 at 0.8, 2e-10 at 0.9.
+
+A block is compared in tiles, in numpy: a fingerprint against all that no link has reached yet, by exclusive-or and bit
+counts within WIDE bits, then the sets of those that are left, exactly. A bit of two sets of similarity 0.8 or more differs
+with the chance 3/16 at most, so that WIDE loses one of them with 1.1e-6 at most; of unlike texts a fifth goes on.
 """
 
 from __future__ import annotations
@@ -17,12 +21,15 @@ from pyspark.sql import functions as F
 
 from .common import slices, split_off, text_or_empty, written
 from .components import connected_components
-from .simhash import first_row, keep_least, named
+from .simhash import RADIUS, first_row, keep_least, majority, named
+from .simhash import links as fingerprint_links
 from .textarrays import FOLD, buffers, hashes, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
+#: Differing bits within which fingerprints of a block's tile go on to the exact check.
+WIDE = 28
 #: Texts and shingles in a tile; a task compares two tiles at most at a time.
 TILE, TILE_SHINGLES = 4096, 4_000_000
 
@@ -61,7 +68,8 @@ def shingles(column: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.n
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id_col, text_key, fp, size, keys): a row for each row of docs. fp stands for the text's set of shingles."""
+    """(id_col, text_key, fp, size, bits, keys): a row for each row of docs. fp stands for the text's set of shingles, bits
+    is its SimHash fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -79,15 +87,18 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
                 keys[full, band] = _mixed(keys[full, band] + _PLACE[1 + band])
             cut = np.concatenate([[0], np.cumsum(np.where(size > 0, BANDS, 0))]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(cut), pa.array(keys[full].ravel().view(np.int64)))
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(fp.view(np.int64)), pa.array(size.astype(np.int64)), listed], names=[id_col, "text_key", "fp", "size", "keys"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(fp.view(np.int64)), pa.array(size.astype(np.int64)), pa.array(majority(value, offsets).view(np.int64)), listed], names=[id_col, "text_key", "fp", "size", "bits", "keys"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     source = docs.select(F.col(id_col), text_or_empty(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    return source.mapInArrow(run, f"`{id_col}` {kind}, text_key long, fp long, size long, keys array<long>")
+    return source.mapInArrow(run, f"`{id_col}` {kind}, text_key long, fp long, size long, bits long, keys array<long>")
+
 
+def forest(value: np.ndarray, offsets: np.ndarray, bits: np.ndarray, similarity: float = SIMILARITY, wide: int = WIDE) -> np.ndarray:
+    """For each set of hashes, a set of its component: the same one for all sets that links of `similarity` connect.
 
-def forest(value: np.ndarray, offsets: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """For each set of hashes, a set of its component: the same one for all sets that links of `similarity` connect."""
+    bits: the sets' fingerprints. Those that differ in more than `wide` bits are not compared further.
+    """
     size = np.diff(offsets)
     n = len(size)
     order = np.argsort(size, kind="stable")  # a link's sizes differ by the similarity at most: partners are one range
@@ -95,10 +106,10 @@ def forest(value: np.ndarray, offsets: np.ndarray, similarity: float = SIMILARIT
     place[order] = np.arange(n)
     _, code = np.unique(value, return_inverse=True)
     own = [code[offsets[k] : offsets[k + 1]] for k in order]
-    size = size[order]
+    size, bits = size[order], bits[order]
     marked = np.zeros(len(value) + 1, bool)
     root = np.full(n, -1)
-    left, sizes, flat, cuts, reached = np.arange(n), size, np.concatenate([np.empty(0, np.int64), *own]), np.concatenate([[0], np.cumsum(size)]), 0
+    left, sizes, reached = np.arange(n), size, 0
     for seed in range(n):
         if root[seed] >= 0:
             continue
@@ -108,15 +119,15 @@ def forest(value: np.ndarray, offsets: np.ndarray, similarity: float = SIMILARIT
             if reached * 8 > len(left):  # leave out those that have a component
                 left, reached = left[root[left] < 0], 0
                 sizes = size[left]
-                flat, cuts = np.concatenate([np.empty(0, np.int64), *(own[k] for k in left)]), np.concatenate([[0], np.cumsum(sizes)])
             lo, hi = np.searchsorted(sizes, max(1, size[at] * similarity - 1e-6), "left"), np.searchsorted(sizes, size[at] / similarity + 1e-6, "right")
-            if lo >= hi:
+            some = left[lo:hi]
+            some = some[(np.bitwise_count(bits[some] ^ bits[at]) <= wide) & (root[some] < 0)]
+            if not len(some):
                 continue
             marked[own[at]] = True
-            both = np.add.reduceat(marked[flat[cuts[lo] : cuts[hi]]], cuts[lo:hi] - cuts[lo], dtype=np.int64)
+            both = np.add.reduceat(marked[np.concatenate([own[k] for k in some])], np.cumsum(size[some]) - size[some], dtype=np.int64)
             marked[own[at]] = False
-            some = left[lo:hi]
-            near = some[(both >= similarity * (size[at] + sizes[lo:hi] - both) - 1e-9) & (root[some] < 0)]
+            near = some[both >= similarity * (size[at] + size[some] - both) - 1e-9]
             root[near], reached = seed, reached + len(near)
             queue.extend(near.tolist())
     out = np.empty(n, np.int64)
@@ -124,34 +135,40 @@ def forest(value: np.ndarray, offsets: np.ndarray, similarity: float = SIMILARIT
     return out
 
 
-def _blocks(held: DataFrame) -> DataFrame:
-    """(fp, root): the distinct sets that share a key with another one, and what names their block."""
+def _blocks(held: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(fp, root): the distinct sets with a near fingerprint or a key of another one, and what names their block."""
+    full = distinct.where("size > 0")
+    leads = written(full.groupBy("bits").agg(F.min("fp").alias("lead")), "leads")
+    near = fingerprint_links(leads.select(F.col("bits").alias("fp")), RADIUS)
+    ends = [leads.select(F.col("bits").alias(f"{x}_bits"), F.col("lead").alias(f"{x}_lead")) for x in "ab"]
+    alike = full.join(leads, "bits").select(F.col("fp").alias("a"), F.col("lead").alias("b"))
+    alike = alike.union(near.join(ends[0], F.col("a") == F.col("a_bits")).join(ends[1], F.col("b") == F.col("b_bits")).select("a_lead", "b_lead"))
     keyed = held.select("fp", F.explode("keys").alias("key"))
     least = F.first("fp").over(Window.partitionBy("key").orderBy("fp").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    roots = connected_components(keyed.select(F.col("fp").alias("a"), least.alias("b")))
+    roots = connected_components(keyed.select(F.col("fp").alias("a"), least.alias("b")).union(alike))
     return roots.select(F.col("node").alias("fp"), "root").union(roots.select(F.col("root").alias("fp"), "root").distinct())
 
 
 def links(docs: DataFrame, held: DataFrame, distinct: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
     """(a, b): edges that connect what the links of `similarity` within the blocks connect, among the sets' fp."""
-    blocks = written(_blocks(held), "blocks")
-    members = distinct.select("fp", F.xxhash64("rep").alias("key"), "size").join(blocks.withColumnRenamed("fp", "of"), F.col("fp") == F.col("of")).drop("of")
+    blocks = written(_blocks(held, distinct), "blocks")
+    members = distinct.select("fp", F.xxhash64("rep").alias("key"), "size", "bits").join(blocks.withColumnRenamed("fp", "of"), F.col("fp") == F.col("of")).drop("of")
     whole = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("size") / TILE_SHINGLES)).cast("int").alias("t"))
     members = members.join(whole.withColumnRenamed("root", "of"), F.col("root") == F.col("of"))
-    wanted = written(members.select("fp", F.col("key").alias("of"), "root", "t"), "members")
+    wanted = written(members.select("fp", F.col("key").alias("of"), "root", "t", "bits"), "members")
     # of exact copies only the first row's text is wanted
     key = F.xxhash64(F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(text_or_empty(text_col))))
     some, _ = split_off(docs.select(id_col, text_col), key, wanted.select("of"))
     met = some.select(text_or_empty(text_col).alias("text"), key.alias("key")).join(wanted.hint("merge"), F.col("key") == F.col("of"))
     met = (
         met.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("t")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
-        .select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "text")
+        .select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "text", "bits")
     )
     met = met.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
 
-    def edges(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        fps, value, size = (np.concatenate(x) for x in zip(*parts, strict=True))
-        to = forest(value, np.concatenate([[0], np.cumsum(size)]), similarity)
+    def edges(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        fps, bits, value, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+        to = forest(value, np.concatenate([[0], np.cumsum(size)]), bits.view(np.uint64), similarity)
         moved = np.flatnonzero(to != np.arange(len(to)))
         return fps[moved], fps[to[moved]]
 
@@ -159,7 +176,7 @@ def links(docs: DataFrame, held: DataFrame, distinct: DataFrame, id_col: str = "
         parts, group = [], None
         for batch in slices(batches, column=4):
             key = np.column_stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)])
-            fps = batch.column(3).to_numpy()
+            fps, bits = batch.column(3).to_numpy(), batch.column(5).to_numpy()
             value, offsets = shingles(batch.column(4), shingle)
             found = []
             cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
@@ -168,7 +185,7 @@ def links(docs: DataFrame, held: DataFrame, distinct: DataFrame, id_col: str = "
                     found.append(edges(parts))
                     parts = []
                 group = tuple(key[lo])
-                parts.append((fps[lo:hi], value[offsets[lo] : offsets[hi]], np.diff(offsets[lo : hi + 1])))
+                parts.append((fps[lo:hi], bits[lo:hi], value[offsets[lo] : offsets[hi]], np.diff(offsets[lo : hi + 1])))
             if found:
                 yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b"])
         if parts:
@@ -185,7 +202,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null id is a component's id only where the component has no other. Other columns of docs are not read.
     """
     held = written(sketches(docs, id_col, text_col, shingle), "sketches")
-    distinct = written(held.groupBy("fp").agg(first_row(id_col).alias("rep"), F.min("size").alias("size")), "distinct")
+    distinct = written(held.groupBy("fp").agg(first_row(id_col).alias("rep"), F.min("size").alias("size"), F.min("bits").alias("bits")), "distinct")
     return named(held, distinct, links(docs, held, distinct, id_col, text_col, shingle, similarity, tile), id_col)
 
 

@@ -48,6 +48,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > total, bitorder="little").view(np.uint64)[0])
 
 
+def majority(value: np.ndarray, offsets: np.ndarray, run: int = 1 << 16) -> np.ndarray:
+    """The 64 majority bits over each of some sets of hashes, value[offsets[k]:offsets[k + 1]]; 0 for an empty one."""
+    size = np.diff(offsets)
+    of, counts = np.repeat(np.arange(len(size)), size), np.zeros((len(size), 64), np.int64)
+    for at in range(0, len(value), run):
+        part = of[at : at + run]
+        bits = np.unpackbits(np.ascontiguousarray(value[at : at + run]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        counts[part[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > size[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id_col, text_key, fp): a row for each row of docs; fp holds the 64 bits as a signed long. Null text: no word, fp 0."""
 
